@@ -35,7 +35,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``, for choosing numbers of slices."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def slices_for(df: DataFrame, bytes_each: int, least: int, most: int = 1 << 20) -> int:
