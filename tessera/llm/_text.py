@@ -91,11 +91,15 @@ class Roller:
         self.up = self.down = np.ones(1, np.uint64)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(data):
-            n = max(len(data), BLOCK_BYTES)
+        return self.sums(self.table[data])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums over any 64-bit values in place of bytes."""
+        if len(self.up) <= len(values):
+            n = max(len(values), BLOCK_BYTES)
             self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out
 
     def names(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -131,3 +135,40 @@ def combine(words: np.ndarray, k: int) -> np.ndarray:
 def signed(h: np.ndarray) -> pa.Array:
     """As a bigint column."""
     return pa.array(h.view(np.int64))
+
+
+class Letters(NamedTuple):
+    """Code points of a block: lower-case letters, and 0 for all else.
+
+    Text ``k`` is ``code[bounds[k]:bounds[k + 1]]``.
+    """
+
+    code: np.ndarray
+    bounds: np.ndarray
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, at, side="right") - 1
+
+
+_LOWER: list[np.ndarray] = []
+
+
+def _lower_letters() -> np.ndarray:
+    """By code point: its lower-case form if it is a letter, else 0."""
+    if not _LOWER:
+        out = np.zeros(0x110000, np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalpha():
+                low = c.lower()
+                out[i] = ord(low) if len(low) == 1 else i
+        _LOWER.append(out)
+    return _LOWER[0]
+
+
+def letters(block: Block) -> Letters:
+    raw = block.data.tobytes()
+    code = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    first = np.zeros(len(block.data) + 1, np.int64)
+    np.cumsum((block.data & 0xC0) != 0x80, out=first[1:])
+    return Letters(_lower_letters()[code], first[block.bounds])
