@@ -124,7 +124,8 @@ def _joined(docs: DataFrame, id_col: str, text: str, min_chars: int, twice_bits:
     twice = _filters.twice_seen(_names(slim.select("text"), min_chars), chunk_bits, twice_bits)
     filter_ = docs.sparkSession.sparkContext.broadcast(twice)
     suspects = cut(_suspects(slim, filter_, min_chars))
-    keepers = suspects.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last")
+    # written out, so that the join below shuffles on its own and a hot line can be split
+    keepers = cut(suspects.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last"))
     lost = suspects.join(keepers, "digest").filter("id <> keeper").groupBy("id").agg(F.collect_set("digest").alias(drop))
     return docs.withColumn(key, ident).join(lost.withColumnRenamed("id", key), key, "left"), key, drop
 
