@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, lines, mixing, neardup, quality, toxicity
+from . import decontam, html, langid, lines, mixing, neardup, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_held_out(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
