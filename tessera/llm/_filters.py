@@ -16,7 +16,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 PROBES = 4
 
@@ -55,10 +54,6 @@ class Bloom(NamedTuple):
         return out
 
 
-def _chunk(bits: int):
-    return F.shiftrightunsigned("name", 64 - bits).cast("int").alias("chunk")
-
-
 def _gather(df: DataFrame, chunk_bits: int, bits: int) -> Bloom:
     """The finished chunks, together ``bits`` / 8 bytes however large the input."""
     size = bits >> 3 >> chunk_bits
@@ -71,38 +66,53 @@ def _gather(df: DataFrame, chunk_bits: int, bits: int) -> Bloom:
 SCHEMA = "chunk int, bitmap binary"
 
 
-def twice_seen(names: DataFrame, chunk_bits: int, bits: int) -> Bloom:
-    """From (name, many) rows, at most one a task and name: names seen twice.
+PACKED = "chunk int, many boolean, names binary"
 
-    Every chunk has two Bloom filters. A name goes into the first; if it is
-    there already, or ``many`` says that its task met it in two documents, it
-    goes into the second, which is what remains.
-    """
 
-    def build(key, table):
-        h = table.column("name").to_numpy().view(np.uint64)
-        many = table.column("many").to_numpy(zero_copy_only=False)
-        once = np.zeros(max(1 << 10, 1 << int(np.ceil(np.log2(10 * len(h) + 1)))) >> 3, np.uint8)
-        twice = np.zeros(max(8, bits >> 3 >> chunk_bits), np.uint8)
-        put(twice, h[many])
-        for lo in range(0, len(h), 1 << 16):
-            part, n = np.unique(h[lo : lo + (1 << 16)], return_counts=True)
-            put(twice, part[(n > 1) | has(once, part)])
-            put(once, part)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([twice.tobytes()])})
+def truncated(names: np.ndarray, chunk_bits: int, width: int) -> np.ndarray:
+    """The leading bits of names that ``pack`` keeps: the chunk and ``width`` bytes more."""
+    drop = 64 - chunk_bits - 8 * width
+    return names >> np.uint64(drop) << np.uint64(drop) if drop > 0 else names
 
-    return _gather(names.groupBy(_chunk(chunk_bits)).applyInArrow(build, SCHEMA), chunk_bits, bits)
 
+def pack(names: np.ndarray, many: np.ndarray, chunk_bits: int, width: int = 8) -> pa.RecordBatch:
+    """Rows of ``PACKED`` from distinct names in order; ``width`` is 4 or 8 bytes a name."""
+    chunks, flags, blobs = [], [], []
+    for flag in (False, True):
+        part = names[many == flag]
+        owner = (part >> np.uint64(64 - chunk_bits)).astype(np.int64)
+        short = part if width == 8 else (part >> np.uint64(32 - chunk_bits)).astype(np.uint32)
+        cuts = np.searchsorted(owner, np.arange((1 << chunk_bits) + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            chunks.append(c)
+            flags.append(flag)
+            blobs.append(short[cuts[c] : cuts[c + 1]].tobytes())
+    return pa.record_batch([pa.array(chunks, pa.int32()), pa.array(flags, pa.bool_()), pa.array(blobs, pa.binary())], ["chunk", "many", "names"])
 
-def members(names: DataFrame, chunk_bits: int, bits: int) -> Bloom:
-    """A filter of all values of the column ``name``."""
+
+def twice_seen(packed: DataFrame, chunk_bits: int, bits: int, width: int = 8) -> Bloom:
+    """From ``PACKED`` rows, in which a task sends each name once: names seen twice.
+
+    Every chunk has two Bloom filters. A name goes into the first; if it is
+    there already, or ``many`` says that its task met it twice, it goes into the
+    second, which is what remains.
+    """
 
     def build(key, table):
-        one = np.zeros(max(8, bits >> 3 >> chunk_bits), np.uint8)
-        put(one, table.column("name").to_numpy().view(np.uint64))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([one.tobytes()])})
+        chunk = key[0].as_py()
+        many = table.column("many").to_pylist()
+        parts = [np.frombuffer(x, np.uint64 if width == 8 else np.uint32) for x in table.column("names").to_pylist()]
+        whole = lambda x: x if width == 8 else (x.astype(np.uint64) << np.uint64(32 - chunk_bits)) | np.uint64(chunk << (64 - chunk_bits))
+        total = sum(map(len, parts))
+        once = np.zeros(max(1 << 10, 1 << int(np.ceil(np.log2(10 * total + 1)))) >> 3, np.uint8)
+        twice = np.zeros(max(8, bits >> 3 >> chunk_bits), np.uint8)
+        for names, flag in zip(parts, many, strict=True):
+            names = whole(names)
+            put(twice, names if flag else names[has(once, names)])
+            put(once, names)
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "bitmap": pa.array([twice.tobytes()])})
 
-    return _gather(names.groupBy(_chunk(chunk_bits)).applyInArrow(build, SCHEMA), chunk_bits, bits)
+    return _gather(packed.groupBy("chunk").applyInArrow(build, SCHEMA), chunk_bits, bits)
 
 
 def merged(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

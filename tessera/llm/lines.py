@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import _filters
 from ._spark import cut, fresh, slices_for
-from ._text import Block, Roller, blocks, signed, word_spans
+from ._text import Block, Roller, blocks, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -76,7 +76,7 @@ def _digest(data: np.ndarray, lo: int, hi: int) -> bytes:
     return hashlib.blake2b(data[lo:hi].tobytes().lower(), digest_size=16).digest()
 
 
-def _names(docs: DataFrame, min_chars: int) -> DataFrame:
+def _names(docs: DataFrame, min_chars: int, chunk_bits: int) -> DataFrame:
     def run(batches):
         roller = Roller(11)
         for batch in batches:
@@ -90,10 +90,9 @@ def _names(docs: DataFrame, min_chars: int) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
                 parts.append(pairs[1, new])
-            names, many = _filters.merged(parts)
-            yield pa.record_batch([signed(names), pa.array(many)], ["name", "many"])
+            yield _filters.pack(*_filters.merged(parts), chunk_bits)
 
-    return docs.mapInArrow(run, "name long, many boolean")
+    return docs.mapInArrow(run, _filters.PACKED)
 
 
 def _suspects(docs: DataFrame, filter_, min_chars: int) -> DataFrame:
@@ -121,7 +120,7 @@ def _joined(docs: DataFrame, id_col: str, text: str, min_chars: int, twice_bits:
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     slim = docs.select(ident.alias("id"), F.col(f"`{text}`").alias("text"))
     chunk_bits = slices_for(docs, 32 << 20, 64, 1 << 14).bit_length() - 1
-    twice = _filters.twice_seen(_names(slim.select("text"), min_chars), chunk_bits, twice_bits)
+    twice = _filters.twice_seen(_names(slim.select("text"), min_chars, chunk_bits), chunk_bits, twice_bits)
     filter_ = docs.sparkSession.sparkContext.broadcast(twice)
     suspects = cut(_suspects(slim, filter_, min_chars))
     # written out, so that the join below shuffles on its own and a hot line can be split
