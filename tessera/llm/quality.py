@@ -201,6 +201,9 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     model = fit_on(features(docs, text))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own))
     feats = features(whole.select(own, F.col(f"{own}.`{text}`").alias("__text")), "__text", keep=(own,))
+    # a column that is not deterministic keeps the filter, and with it a second
+    # evaluation of every feature, from being pushed below the features
+    feats = feats.withColumn("__once", F.rand())
     kept = ~F.expr(BASE_FAILED) & (posterior(model) >= threshold)
     return feats.filter(kept).select(*(F.col(f"{own}.`{c}`").alias(c) for c in docs.columns))
 

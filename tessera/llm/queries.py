@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, lines, mixing, neardup, quality, repeats, toxicity
+from . import decontam, html, langid, lines, mixing, neardup, quality, repeats, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_held_out(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op5_decontamination": op5_decontamination,
+    "op6_url_filters": op6_url_filters,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
