@@ -17,13 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import mix
+
 PROBES = 4
 
 
 def probes(names: np.ndarray, bits: int) -> list[np.ndarray]:
-    """``PROBES`` positions below ``bits`` (a power of two) for every name."""
-    step = ((names >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) | np.uint64(1)
-    return [((names + np.uint64(j) * step) & np.uint64(bits - 1)).astype(np.int64) for j in range(PROBES)]
+    """``PROBES`` positions below ``bits`` (a power of two) for every name.
+
+    Names are mixed once more: cut ones end in zeros, and all of a chunk share
+    their first bits.
+    """
+    h = mix(names)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [((h + np.uint64(j) * step) & np.uint64(bits - 1)).astype(np.int64) for j in range(PROBES)]
 
 
 def put(bitmap: np.ndarray, names: np.ndarray) -> None:
