@@ -25,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Let Arrow batches of this session hold at most ``rows`` rows.
+
+    Texts make wide rows, and a batch lies in memory on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of ``df``."""
     taken = {c.lower() for c in df.columns}

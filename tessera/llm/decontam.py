@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from ._text import Block, Roller, blocks, combine, mix, word_spans
 
 SHINGLE = 5
@@ -193,6 +194,7 @@ def _parts(benchmark: DataFrame, item_id: str, text: str):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """id, item_id, similarity, first_word: pairs of a document and an item that it holds."""
+    small_batches(docs)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     out = None
@@ -214,6 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that hold no item; each row is judged where it lies."""
+    small_batches(docs)
     at = docs.columns.index(text)
     for part in _parts(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(part)

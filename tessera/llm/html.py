@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
+
 WINDOW = 3
 SURGE_CHARS = 80
 SURGE_SHARE = 0.3
@@ -174,6 +176,7 @@ def article_of(html: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, url, text, n_chars."""
+    small_batches(pages)
     slim = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     kind = slim.schema["id"].dataType.simpleString()
 

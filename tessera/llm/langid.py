@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut, small_batches
 from ._text import Block, blocks, letters
 
 BITS = 15
@@ -79,8 +80,6 @@ def _counts(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and the (bucket, language) log probabilities, from (lang, text)."""
     counts = _counts(rows.select("lang", "text").filter("lang is not null and text is not null"))
-    from ._spark import cut
-
     counts = cut(counts)
     docs = {r["lang"]: r["n"] for r in counts.filter("bucket < 0").limit(MAX_LANGS + 1).collect()}
     if len(docs) > MAX_LANGS:
@@ -110,6 +109,7 @@ def score_block(block: Block, prior: np.ndarray, logp: np.ndarray) -> tuple[np.n
 
 def predict(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, lang_pred, score; ``train`` has lang and text."""
+    small_batches(docs)
     langs, prior, logp = fit(train)
     model = docs.sparkSession.sparkContext.broadcast((langs, prior, np.asfortranarray(logp)))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _filters
-from ._spark import cut, fresh, slices_for
+from ._spark import cut, fresh, slices_for, small_batches
 from ._text import Block, Roller, blocks, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -116,6 +116,7 @@ def _suspects(docs: DataFrame, filter_, min_chars: int) -> DataFrame:
 
 def _joined(docs: DataFrame, id_col: str, text: str, min_chars: int, twice_bits: int) -> tuple[DataFrame, str, str]:
     """``docs`` with the digests that each row loses."""
+    small_batches(docs)
     key, drop = fresh(docs, "line_id"), fresh(docs, "line_drop")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     slim = docs.select(ident.alias("id"), F.col(f"`{text}`").alias("text"))

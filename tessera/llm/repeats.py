@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _filters
-from ._spark import cut, slices_for
+from ._spark import cut, slices_for, small_batches
 from ._text import Roller, blocks
 
 LENGTH = 400
@@ -119,7 +119,7 @@ class Plan:
     """The steps that find repeated suffixes, up to the table of removed spans by text digest."""
 
     def __init__(self, docs: DataFrame, text: str, length: int, r: int):
-        self.spark = docs.sparkSession
+        self.spark = small_batches(docs).sparkSession
         v, cover = difference_cover(r)
         if length < 2 * v:
             raise ValueError("the cover's period must be at most half the length")

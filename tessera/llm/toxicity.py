@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut, small_batches
 from ._text import Block, Roller, blocks, letters, mix
 from .langid import held_out
 
@@ -107,8 +108,6 @@ def _stats(sample: DataFrame) -> DataFrame:
 
 def _select(stats: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
     """Rows, toxic rows, and the chosen buckets in order of strength."""
-    from ._spark import cut
-
     stats = cut(stats)
     whole = stats.filter("bucket < 0").first()
     n, t = (whole["docs"], whole["toxic"]) if whole else (0, 0)
@@ -187,6 +186,7 @@ def _fit(sample: DataFrame, chosen: np.ndarray) -> tuple[float, np.ndarray, np.n
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = MAX_ROWS, n_terms: int = N_TERMS) -> DataFrame:
     """id, held_out, score, predicted."""
+    small_batches(docs)
     sample = _labelled(docs, labels, id_col, text, max_rows)
     n, t, chosen = _select(_stats(sample), n_terms)
     if len(chosen):
