@@ -1,0 +1 @@
+"""Readers, sinks and the proxy tables over the test data."""

@@ -1,0 +1 @@
+"""Stateful operators on streams and their batch twins."""
