@@ -136,7 +136,7 @@ def rich_and_ocr(spark, sf_dir):
 
 
 GRAMS = lambda t: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
-TITLE = "burnished steel part"
+TITLE = "small blue gear ring"
 
 
 @query(f"with g as (select p_partkey, p_name, {GRAMS('p_name')} as a, {GRAMS(repr(TITLE))} as b from part), s as (select p_partkey, p_name, cast(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as float) as rank from g) select p_partkey, p_name, round(rank::double, 5) as rank from s where rank > 0.1 order by s.rank desc, p_partkey limit 20")

@@ -84,7 +84,7 @@ def outline_ranges(spark, sf_dir):
 
 
 @query("""with b as (select p_partkey as id, cast(p_size * 13 as int) as pages from part where p_partkey <= 300), s as (select *, case when pages <= 20 then pages when pages <= 100 then 10 when pages <= 500 then 20 else 30 end as size from b where pages > 0)
-select id, page, (page - 1) // size as chapter, page - (page - 1) // size * size as place from (select *, unnest(generate_series(1, pages)) as page from s)""")
+select id, cast(page as int) as page, cast((page - 1) // size as int) as chapter, cast(page - (page - 1) // size * size as int) as place from (select *, unnest(generate_series(1, pages)) as page from s)""")
 def batch_structure(spark, sf_dir):
     p = read(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 13).cast("int").alias("pages"))
     return iv.batch_structure(p, "pages").select("id", "page", "chapter", "place")

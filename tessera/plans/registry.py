@@ -25,4 +25,4 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
     return add
 
 
-from . import documents, intervals, relational, sync, usage  # noqa: E402, F401
+from . import documents, intervals, models, relational, state, sync, usage  # noqa: E402, F401
