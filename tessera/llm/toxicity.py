@@ -38,6 +38,8 @@ PREFIXES = (4, 5)
 MAX_ROWS = 40_000
 N_TERMS = 4096
 LEAST_DOCS = 5
+#: of some ten thousand terms without a meaning, one or two pass
+LEAST_CHI = 15.0
 FACTORS = 8
 BLOCK = 1 << 20
 
@@ -115,12 +117,18 @@ def _select(stats: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
         return n, t, np.empty(0, np.int64)
     d, x = F.col("docs").cast("double"), F.col("toxic").cast("double")
     chi = n * F.pow(x * n - d * t, 2) / (d * (n - d) * F.lit(float(t) * (n - t)))
-    best = stats.filter(f"bucket >= 0 and docs >= {LEAST_DOCS} and docs < {n}").withColumn("chi", chi).filter("chi > 6.6").orderBy(F.desc("chi"), "bucket").limit(n_terms)
+    best = stats.filter(f"bucket >= 0 and docs >= {LEAST_DOCS} and docs < {n}").withColumn("chi", chi).filter(f"chi > {LEAST_CHI}").orderBy(F.desc("chi"), "bucket").limit(n_terms)
     return n, t, np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
 
 
-def train_fm(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 7):
-    """AdaGrad on log loss; rows in CSR form with x = 1. Returns w0, w, v."""
+def train_fm(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, factors: int = FACTORS, steps: int = 2000, rate: float = 0.1, decay: float = 1e-5, batch: int = 256, seed: int = 7):
+    """AdaGrad on log loss; rows in CSR form with x = 1. Returns w0, w, v.
+
+    Takes ``steps`` batches at least and whole epochs. Rows of label 1 weigh as much
+    as the others together, at most 8 each, so that few of them are not outvoted.
+    """
+    epochs = max(5, -(-steps // max(1, -(-len(y) // batch))))
+    weight = np.where(y > 0, min(8.0, max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))), 1.0)
     rng = np.random.default_rng(seed)
     share = (y.sum() + 0.5) / (len(y) + 1)
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, factors))
@@ -136,7 +144,7 @@ def train_fm(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int,
             sums = np.stack([np.bincount(of, weights=v[f, k], minlength=len(rows)) for k in range(factors)], axis=1)
             squares = np.bincount(of, weights=(v[f] ** 2).sum(axis=1), minlength=len(rows))
             z = w0 + np.bincount(of, weights=w[f], minlength=len(rows)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows]
             d0 = e.mean()
             used, inv = np.unique(f, return_inverse=True)
             ef = e[of]
