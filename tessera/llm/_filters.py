@@ -104,6 +104,7 @@ def twice_seen(packed: DataFrame, chunk_bits: int, bits: int, width: int = 8) ->
     there already, or ``many`` says that its task met it twice, it goes into the
     second, which is what remains.
     """
+    bits = max(bits, 64 << chunk_bits)
 
     def build(key, table):
         chunk = key[0].as_py()

@@ -64,14 +64,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``, for choosing numbers of slices."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate of ``df``; the bytes of its texts where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n < 1 << 60:
+        return n
+    texts = [F.sum(F.octet_length(f"`{c}`")) for c, kind in df.dtypes if kind == "string"]
+    return sum(x or 0 for x in df.agg(*texts).first()) if texts else 0
 
 
 def slices_for(df: DataFrame, bytes_each: int, least: int, most: int = 1 << 20) -> int:
     """A power of two so that each slice stands for about ``bytes_each`` of input."""
-    n = least
-    while n < most and n * bytes_each < input_bytes(df):
+    n, total = least, input_bytes(df)
+    while n < most and n * bytes_each < total:
         n *= 2
     return n
 

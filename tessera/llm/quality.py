@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ASCII_SPACE, WORD, fresh
+from ._spark import ASCII_SPACE, WORD, cut, fresh
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -180,8 +180,6 @@ def fit_on(feats: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good."""
-    from ._spark import cut
-
     feats = cut(features(docs, text, keep=(id_col,)))
     p = posterior(fit_on(feats))
     failed = F.expr(BASE_FAILED)
@@ -194,17 +192,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they came.
 
-    The model needs one pass for the pattern counts; the second pass judges
-    each row where it lies, so texts are never shuffled.
+    Rows are written once with their features, so that the model is fitted and the
+    rows are judged without computing a feature twice; texts are never shuffled.
     """
     own = fresh(docs, "row")
-    model = fit_on(features(docs, text))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own))
-    feats = features(whole.select(own, F.col(f"{own}.`{text}`").alias("__text")), "__text", keep=(own,))
-    # a column that is not deterministic keeps the filter, and with it a second
-    # evaluation of every feature, from being pushed below the features
-    feats = feats.withColumn("__once", F.rand())
-    kept = ~F.expr(BASE_FAILED) & (posterior(model) >= threshold)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own), F.col(f"`{text}`").alias("__text"))
+    feats = cut(features(whole, "__text", keep=(own,)))
+    kept = ~F.expr(BASE_FAILED) & (posterior(fit_on(feats)) >= threshold)
     return feats.filter(kept).select(*(F.col(f"{own}.`{c}`").alias(c) for c in docs.columns))
 
 
