@@ -7,8 +7,8 @@ on) counts as empty lines. Over this list, a window of ``WINDOW`` lines slides;
 the sums of text lengths in it surge where the article begins and dive to zero
 where it ends. Empty lines are put in where containers meet, so that neighbours
 of different kinds do not share a window. The text between a surge and its dive is
-kept if it holds enough of the page; where the page marks its article, only
-stretches inside count.
+kept if the surge is high or the stretch holds a good part of the page; where the page
+marks its article, the stretches inside it count, and only those.
 
 A line whose text is mostly links has length zero. Everything works on one page
 at a time, in one pass over its whole text.
@@ -131,7 +131,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
             if not m["attrs"].endswith("/"):
                 skip, depth = tag, 1
         elif tag in ("div", "section"):
-            gap(1)
+            gap(1 if opens else WINDOW - 1)
         elif tag in BLOCKS:
             flush()
         elif tag in ("br", "td", "th", "img", "wbr"):
@@ -155,7 +155,7 @@ def article_of(html: str | None) -> str:
     if not any(blocks):
         return ""
     surge = min(SURGE_CHARS, SURGE_SHARE * max(blocks))
-    regions: list[tuple[int, int]] = []
+    regions: list[tuple[int, int, int]] = []
     i = 0
     while i < n:
         if blocks[i] == 0:
@@ -164,14 +164,13 @@ def article_of(html: str | None) -> str:
         dive = i
         while dive < n and blocks[dive] > 0:
             dive += 1
-        if max(blocks[i:dive]) >= surge:
-            regions.append((i, min(n, dive)))
+        regions.append((i, min(n, dive), max(blocks[i:dive])))
         i = dive
-    marked = [(a, b) for a, b in regions if any(lines[k][2] for k in range(a, b) if sizes[k])]
+    marked = [r for r in regions if any(lines[k][2] for k in range(*r[:2]) if sizes[k])]
     mass = lambda r: sum(sizes[r[0] : r[1]])
-    chosen = marked or regions
-    least = REGION_SHARE * max(map(mass, chosen))
-    return "\n\n".join(lines[k][0] for r in chosen if marked or mass(r) >= least for k in range(*r) if lines[k][0] and (sizes[k] or lines[k][2]) and (not marked or lines[k][2]))
+    least = REGION_SHARE * max(map(mass, regions))
+    high = [r for r in regions if r[2] >= surge and (r[2] >= SURGE_CHARS or mass(r) >= least)]
+    return "\n\n".join(lines[k][0] for r in marked or high for k in range(*r[:2]) if lines[k][0] and (lines[k][2] if marked else sizes[k]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
