@@ -194,12 +194,12 @@ def id_union(spark, sf_dir):
     return a.union(read(spark, sf_dir, "orders").filter("o_totalprice > 200000").select("o_orderkey")).distinct()
 
 
-@query("select user_id, list_sort(list_intersect(list(distinct event_type), ['click', 'view'])) as known from events group by 1")
+@query("select user_id, array_to_string(list_sort(list_intersect(list(distinct event_type), ['click', 'view'])), ',') as known from events group by 1")
 def known_intersection(spark, sf_dir):
     e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
-    return e.select("user_id", F.sort_array(F.array_intersect("kinds", F.array(F.lit("click"), F.lit("view")))).alias("known"))
+    return e.select("user_id", F.array_join(F.sort_array(F.array_intersect("kinds", F.array(F.lit("click"), F.lit("view")))), ",").alias("known"))
 
 
-@query("select p_brand, list_sort(list(distinct p_type)) as types, min(p_size) as least, max(p_size) as most from part group by 1")
+@query("select p_brand, array_to_string(list_sort(list(distinct p_type)), ',') as types, min(p_size) as least, max(p_size) as most from part group by 1")
 def distinct_and_extremes(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("types"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
