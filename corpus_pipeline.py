@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to the training mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
-as Parquet in the shared checkpoint folder and reads it again for the next one.
+as Parquet in the shared checkpoint folder, reads it again for the next one, and
+deletes the result of the stage before.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, lines, mixing, neardup, quality
-from tessera.llm._spark import ensure_checkpoint_dir
+from tessera.llm._spark import drop, ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,9 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -38,10 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, url: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(url)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what ``cut`` has written in this session; frames made from it can't be read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, shared_folder(spark))
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
