@@ -256,6 +256,18 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_around_one_text(spark):
+    """Copies near the text they come from, but not near each other."""
+    base = text(90, 300)
+    rows = [(1000, base)] + [(i, edited(base, 6, i)) for i in range(1, 161)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    near = {i for i in sets if like(i, 1000)}
+    assert len(near) > 100 and np.mean([like(a, b) for a in near for b in near if a < b < 1000]) < 0.1
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in near} == {min(near)}
+
+
 def test_near_duplicates_of_documents(spark, sf):
     """Every class of the smallest scale, against all pairs that share a shingle."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
