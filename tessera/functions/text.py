@@ -38,7 +38,8 @@ def collapse(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after ``.!?`` and white space before a capital or a quote, except after an abbreviation."""
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    parts = F.split(text, rf'(?<=(?<!{short})[.!?])\s+(?=[A-Z"“])')
+    # the one-character test comes first, so that the long one is tried at sentence ends only
+    parts = F.split(text, rf'(?<=[.!?])(?<!(?:{short})[.!?])\s+(?=[A-Z"“])')
     kept = F.filter(F.transform(parts, trim), lambda s: s != "")
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
