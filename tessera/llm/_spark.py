@@ -26,13 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tessera"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     A table is smaller than a checkpoint, has exact sizes for the planner, and does
     not carry the constraints of the plan that made it, which grow from round to
-    round in a loop. ``sweep`` removes the tables.
+    round in a loop. ``sweep`` removes the tables. ``narrow`` is for tables that are
+    small for their number of partitions: one file a core is enough.
     """
+    if narrow:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
