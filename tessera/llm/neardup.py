@@ -9,12 +9,14 @@
 2. Texts alike are collapsed to the one of least id.
 3. Signatures are cut into bands; documents that agree in a band meet in a bucket.
    A bucket links each member to two members, the one that meets most documents and the
-   first in an order of its own (aggregations, so no bucket is gathered in a task); over
-   all bands a document meets up to 2 * BANDS others. Pairs within a bucket are never
-   expanded.
+   first in an order of its own (aggregations, so no bucket is gathered in a task).
 4. Links are verified with the exact probability Jaccard of both whole texts: each
    document's best link first, then all that join classes which are still apart.
-5. Classes are the connected components of the verified links; a class's id is its
+5. What is left of a bucket, without those two members, is dealt into blocks if it still
+   has more than one class. Each block meets each other one in a task of its own, where
+   matrix products rule out pairs by a bound and the exact similarity decides the rest.
+   So every pair of a bucket is compared, or its documents are in one class already.
+6. Classes are the connected components of the verified links; a class's id is its
    least document id.
 
 Cases: texts without a word (null, empty, blank) are classes of their own; texts
@@ -26,6 +28,7 @@ empty table gives an empty result. ``keep_one`` keeps all columns.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 5
+BLOCK_DOCS = 1000
+BLOCK_BYTES = 4 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,8 +147,9 @@ def _signed_docs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
-def _links(reps: DataFrame) -> DataFrame:
+def _links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, n): a member, another of its bucket, and the number of their common buckets.
+    (key, rep): the members of a bucket that the others do not all meet.
 
     The members of a bucket meet two of them: the one that meets most documents over all
     its buckets, and the first in an order of the bucket's own. A text from which many
@@ -158,30 +164,32 @@ def _links(reps: DataFrame) -> DataFrame:
     most = F.max(F.struct("meets", F.xxhash64("rep").alias("o"), "rep")).alias("hub")
     first = F.min(F.struct(F.xxhash64("rep", "band").alias("o"), "rep")).alias("first")
     ends = cut(known.groupBy("key").agg(most, first).select("key", F.array_distinct(F.array("hub.rep", "first.rep")).alias("ends")))
-    pairs = known.join(ends, "key").select(F.col("rep").alias("a"), F.explode("ends").alias("b")).filter("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    met = known.join(ends, "key")
+    pairs = met.select(F.col("rep").alias("a"), F.explode("ends").alias("b")).filter("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), met.filter(~F.array_contains("ends", F.col("rep"))).select("key", "rep")
 
 
 def _undirected(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sets(column, roller: Roller) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text."""
+    for block in blocks(column, 1 << 20):
+        doc, h = shingles(block, roller)
+        order = np.argsort(doc, kind="stable")
+        at = np.searchsorted(doc[order], np.arange(block.hi - block.lo + 1))
+        h = h[order]
+        yield from (h[x:y] for x, y in zip(at[:-1], at[1:], strict=True))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is ``least`` or more."""
 
     def run(batches):
         roller = Roller(31)
-
-        def sets(column):
-            for block in blocks(column, 1 << 20):
-                doc, h = shingles(block, roller)
-                order = np.argsort(doc, kind="stable")
-                at = np.searchsorted(doc[order], np.arange(block.hi - block.lo + 1))
-                h = h[order]
-                yield from (h[x:y] for x, y in zip(at[:-1], at[1:], strict=True))
-
         for batch in batches:
-            ok = pa.array([probability_jaccard(x, y) >= least - 1e-12 for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)], pa.bool_())
+            ok = pa.array([probability_jaccard(x, y) >= least - 1e-12 for x, y in zip(_sets(batch.column(2), roller), _sets(batch.column(3), roller), strict=True)], pa.bool_())
             yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     left = pairs.join(texts.toDF("ia", "ta").hint("merge"), F.col("a") == F.col("ia")).select("a", "b", "ta")
@@ -189,13 +197,104 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def joined(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels, as many as join the classes that pairs of ``left`` and ``right`` join.
+
+    With the counts p and q as distributions and m the sum of min(p, q), the similarity is
+    at most m and at most (a + b - m) / (2 - m), where a and b are the shares of p and of q
+    on what both have: a + b is least * (3 - least) or more for every pair that is sought.
+    """
+    n = len(sets)
+    doc, h, count = weighted(np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets))
+    _, column, holders = np.unique(h, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(holders[column] > 1)
+    share = (count / np.array([len(x) for x in sets])[doc])[some].astype(np.float32)
+    doc, column = doc[some], (np.cumsum(holders > 1) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    doc, column, share = doc[order], column[order], share[order]
+    both, width = np.zeros((len(left), len(right))), 2048
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, [lo, lo + width])
+        p = np.zeros((n, width), np.float32)
+        p[doc[x:y], column[x:y] - lo] = share[x:y]
+        on = (p > 0).astype(np.float32)
+        both += p[left] @ on[right].T
+        both += on[left] @ p[right].T
+    i, j = np.nonzero(both >= least * (3 - least) - 1e-3)
+    order = np.argsort(-both[i, j], kind="stable")
+    i, j = left[i[order]], right[j[order]]
+    apart = label[i] != label[j]
+    parent, found = {x: x for x in label.tolist()}, []
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+        x, y = find(int(label[a])), find(int(label[b]))
+        if x != y and probability_jaccard(sets[a], sets[b]) >= least - 1e-12:
+            parent[y] = x
+            found.append((int(label[a]), int(label[b])))
+    return found
+
+
+def _rest(rest: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """(a, b): labels of classes that a pair of the members left in a bucket joins; None if all are in one class.
+
+    A bucket's largest class, if it is large, has blocks that do not meet each other.
+    """
+    size = texts.select(F.col("id").alias("of"), F.octet_length("text").cast("long").alias("bytes"))
+    member = rest.join(size, F.col("rep") == F.col("of")).join(labels, F.col("rep") == F.col("node"), "left")
+    member = cut(member.select("key", "rep", F.coalesce("label", "rep").alias("label"), "bytes"))
+    of_class = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    top = F.max(F.struct("n", "bytes", "label")).alias("top")
+    found = of_class.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    large = F.col("top.n") * 8 >= BLOCK_DOCS
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    few = parts(F.col("n") - F.when(large, F.col("top.n")).otherwise(0), F.col("bytes") - F.when(large, F.col("top.bytes")).otherwise(0))
+    many = F.when(large, parts(F.col("top.n"), F.col("top.bytes"))).otherwise(0)
+    found = cut(found.select("key", F.when(large, F.col("top.label")).alias("main"), few.alias("few"), many.alias("many")), narrow=True)
+    if found.isEmpty():
+        return None
+    dealt = member.join(found, "key").withColumn("in_main", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep", "key"), F.when(F.col("in_main"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+    all_few = F.sequence(F.lit(0), F.col("few") - 1)
+    # a task is (i, j): j counts on from the blocks of the other classes to those of the main one
+    of_main = F.transform(all_few, lambda x: F.struct(x.alias("i"), (F.col("few") + F.col("mine")).alias("j"), F.lit(1).alias("side")))
+    own = F.transform(all_few, lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"), (F.col("mine") > x).cast("int").alias("side")))
+    meets = F.when(F.col("many") > 0, F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda x: F.struct(F.col("mine").alias("i"), (F.col("few") + x).alias("j"), F.lit(0).alias("side"))))
+    tasks = F.when(F.col("in_main"), of_main).otherwise(F.concat(own, F.coalesce(meets, F.array().cast("array<struct<i:int,j:int,side:int>>"))))
+    dealt = cut(dealt.select("key", "rep", "label", F.explode(tasks).alias("t")).select("key", "t.*", "rep", "label"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side, label = table.column("side").to_numpy(), table.column("label").to_numpy()
+        sets = list(_sets(table.column("text"), Roller(31)))
+        every = np.arange(len(sets))
+        diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        found = joined(sets, label, every if diagonal else every[side == 0], every if diagonal else every[side == 1], least)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    full = dealt.join(texts, F.col("rep") == F.col("id")).select("key", "i", "j", "side", "label", "text")
+    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) after links ``more`` between labels."""
+    over = components(more).toDF("old", "new")
+    lone = over.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("label"))
+    labels = labels.union(lone)
+    return labels.join(over, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
 def class_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id), one row an id; documents alone have a class of their own."""
     small_batches(docs)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).filter("id is not null")
     signed = cut(_signed_docs(slim, bands, rows))
     reps = cut(signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    links = cut(_links(reps))
+    links, rest = _links(reps)
+    links = cut(links)
     ends = cut(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct(), narrow=True)
     texts = cut(slim.join(ends, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"))
     # a document's best link first: most of the others then lie within a class
@@ -208,10 +307,10 @@ def class_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     apart = cut(apart.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb"), narrow=True)
     more = _verified(apart.select("a", "b"), texts, least).join(apart, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     # the classes are contracted to their labels, and only links between them are left
-    over = components(more).toDF("old", "new")
-    lone = over.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("label"))
-    labels = labels.union(lone)
-    labels = labels.join(over, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    labels = cut(_contracted(labels, more), narrow=True)
+    more = _rest(rest, labels, texts, least)
+    if more is not None:
+        labels = _contracted(labels, more)
     own = signed.join(reps.select("digest", "rep"), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     own = own.join(labels, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("class_id"))
     return own.groupBy("id").agg(F.min("class_id").alias("class_id"))

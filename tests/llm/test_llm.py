@@ -268,6 +268,62 @@ def test_near_duplicates_around_one_text(spark):
     assert {got[i] for i in near} == {min(near)}
 
 
+def test_near_duplicates_without_their_text(spark, monkeypatch):
+    """Copies of a text that is not among them: few pairs are near enough, and few of those meet a hub."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 300, raising=False)
+    base = text(91, 300)
+    rows = [(i, edited(base, 5, i)) for i in range(1, 2001)]
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    number = {}
+    holders = defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            holders[number.setdefault(g, len(number))].append(i)
+    wide = np.zeros((len(rows), sum(len(h) > 1 for h in holders.values())), np.float32)
+    for k, h in enumerate(h for h in holders.values() if len(h) > 1):
+        wide[h, k] = 1
+    both = wide @ wide.T
+    n = np.array([len(x) for x in sets])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    like = np.argwhere(np.triu(both / (n[:, None] + n[None] - both) >= 0.8 - 1e-12, 1))
+    for i, j in like:
+        x, y = find(i), find(j)
+        parent[max(x, y)] = min(x, y)
+    assert len(like) > 200
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: rows[find(i - 1)][0] for i, _ in rows}
+
+
+def test_joined_against_every_pair():
+    """Weights, a large class that is not compared with itself, and blocks that meet."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 40, dtype=np.uint64)
+    sets = [np.concatenate([rng.choice(base, 36, replace=False), rng.choice(base, 6), rng.integers(1, 1 << 62, 2, dtype=np.uint64)]) for _ in range(60)]
+    sets += [np.empty(0, np.uint64)]
+    every, label = np.arange(61), np.arange(61) // 2
+    for left, right in ((every, every), (every[:30], every[30:])):
+        least = 0.7
+        want = {(int(label[a]), int(label[b])) for a in left for b in right if label[a] != label[b] and neardup.probability_jaccard(sets[a], sets[b]) >= least}
+        got = neardup.joined(sets, label, left, right, least)
+
+        def parts(edges):
+            of = list(range(31))
+            for a, b in edges:
+                x, y = of[a], of[b]
+                of = [min(x, y) if k in (x, y) else k for k in of]
+            return of
+
+        assert want and len(set(parts(want))) > 1 and set(got) <= want | {(b, a) for a, b in want}
+        assert parts(got) == parts(want)
+
+
 def test_near_duplicates_of_documents(spark, sf):
     """Every class of the smallest scale, against all pairs that share a shingle."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
