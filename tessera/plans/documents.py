@@ -171,3 +171,9 @@ def content_hash(spark, sf_dir):
 def log_tail(spark, sf_dir):
     """Everything since a point, inclusive, in ascending order."""
     return read(spark, sf_dir, "conversations").filter("turn >= 2 and conv_id % 3 = 0").orderBy("turn", "conv_id").select("conv_id", "turn", "role")
+
+
+@query()
+def log_tail_all(spark, sf_dir):
+    """As ``log_tail``, over all conversations."""
+    return read(spark, sf_dir, "conversations").filter("turn >= 2").orderBy("turn", "conv_id").select("conv_id", "turn", "role")

@@ -57,15 +57,25 @@ def carry_over(spark, sf_dir):
     return out.select("book_id", "ord", "read_pages", "is_read", F.coalesce(F.date_format("read_at", "yyyy-MM-dd"), F.lit("-")).alias("read_at"))
 
 
+def _covered(spark, sf_dir, s):
+    pages = read(spark, sf_dir, "part").filter("p_partkey <= 120 and p_partkey % 13 <> 0").select(F.col("p_partkey").cast("int").alias("page"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("md"))
+    out = iv.covered(s, pages, ["book_id", "no"], "md")
+    return out.withColumn("text", F.coalesce("text", F.lit("-")))
+
+
 PAGES_SQL = "pages_md as (select cast(p_partkey as int) as page, case when p_partkey % 7 = 0 then '' else p_name end as md from part where p_partkey <= 120 and p_partkey % 13 <> 0)"
 
 
 @query(f"""{S}, {PAGES_SQL}, w as (select book_id, no, unnest(generate_series(start_page, end_page)) as page from sections where book_id % 10 = 0)
 select book_id, no, count(*) as n_pages, count(*) filter (where md is null) as n_missing, case when count(*) filter (where md is null) = 0 then coalesce(string_agg(md, chr(10) || chr(10) order by w.page) filter (where md <> ''), '') else '-' end as text from w left join pages_md p on p.page = w.page group by 1, 2""")
 def page_cover(spark, sf_dir):
-    pages = read(spark, sf_dir, "part").filter("p_partkey <= 120 and p_partkey % 13 <> 0").select(F.col("p_partkey").cast("int").alias("page"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("md"))
-    out = iv.covered(sections(spark, sf_dir).filter("book_id % 10 = 0"), pages, ["book_id", "no"], "md")
-    return out.withColumn("text", F.coalesce("text", F.lit("-")))
+    return _covered(spark, sf_dir, sections(spark, sf_dir).filter("book_id % 10 = 0"))
+
+
+@query()
+def page_cover_all(spark, sf_dir):
+    """As ``page_cover``, over all sections."""
+    return _covered(spark, sf_dir, sections(spark, sf_dir))
 
 
 LEAVES_SQL = "leaves as (select conv_id, turn as ord, turn // 3 as chapter, case when (conv_id + turn) % 5 <> 0 then cast(turn * 4 + conv_id % 3 + 1 as int) end as page from conversations)"

@@ -162,7 +162,7 @@ def upsert_progress(spark, sf_dir):
 def insert_do_nothing(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"))
-    return sync.insert_missing(c, c.limit(10).unionByName(s), ["c_custkey"])
+    return sync.insert_missing(c, c.unionByName(s), ["c_custkey"])
 
 
 @query(f"with {BOOKS_SQL} select p_partkey, p_size + (select count(*) from books where catalog_id = p_partkey) as users from part")
