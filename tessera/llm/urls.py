@@ -3,8 +3,9 @@
 Where no rule fits, a URL is judged by the template of its path. Per host, a tree
 is grown from the first path segment down: at each node the segments of one shape
 (digits written as ``#``) become a wildcard when at least ``LEAST_VALUES`` values
-of it occur, and all plain segments do when there are more than ``MAX_CHILDREN``
-of them; a node therefore has a bounded number of branches. Sibling branches
+of it occur, and the plain segments without labels do when there are more than
+``MAX_CHILDREN`` plain ones; segments with labels keep branches of their own, so
+that a rule for one says nothing of the rest. Sibling branches
 with labels whose shares of bad URLs do not differ at the 5 % level are merged and
 share their counts. A template is rejected if its smoothed purity
 
@@ -77,12 +78,12 @@ def templates(urls: DataFrame) -> DataFrame:
     for level in range(depth):
         here = paths.withColumn("seg", F.try_element_at("segs", F.lit(level + 1)))
         here = here.withColumn("shape", shape(F.col("seg")))
-        values = here.filter("seg is not null").groupBy("host", "template", "shape", "seg").agg(F.sum("n").alias("n"))
-        shapes = values.groupBy("host", "template", "shape").agg(F.count(F.lit(1)).alias("values"))
+        values = here.filter("seg is not null").groupBy("host", "template", "shape", "seg").agg(F.sum("labelled").alias("labelled"))
+        shapes = values.groupBy("host", "template", "shape").agg(F.count(F.lit(1)).alias("values"), F.sum("labelled").alias("labelled"))
         wild = F.col("shape").contains("#") & (F.col("values") >= LEAST_VALUES)
         plain = shapes.groupBy("host", "template").agg(F.sum(F.when(~wild, F.col("values")).otherwise(0)).alias("plain"))
         p = plain.select(F.col("host").alias("ph"), F.col("template").alias("pt"), "plain")
-        token = F.when(wild, F.regexp_replace("shape", "#", "*")).when(F.col("plain") > MAX_CHILDREN, "*")
+        token = F.when(wild, F.regexp_replace("shape", "#", "*")).when((F.col("plain") > MAX_CHILDREN) & (F.col("labelled") == 0), "*")
         tokens = shapes.join(p, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
         tokens = cut(tokens.select(F.col("host").alias("th"), F.col("template").alias("tt"), F.col("shape").alias("ts"), token.alias("token")).filter("token is not null"))
         here = here.join(tokens, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt")) & (F.col("shape") == F.col("ts")), "left")
