@@ -17,7 +17,8 @@ The benchmark goes to the executors in parts of at most ``PART_ITEMS`` items and
 Cases: null and empty texts match nothing; items of fewer than five words have one
 shingle of all their words and match documents of exactly those words; a document
 shorter than an item is one window; items alike are all reported; rows with one id
-are searched one by one and the best similarity is reported; an empty table of
+are searched one by one and the best similarity is reported; items with a null id
+are searched too and reported with a null item_id, all as one; an empty table of
 either kind gives no pairs. ``clean`` keeps all columns.
 """
 
@@ -182,7 +183,7 @@ class Benchmark:
 def _parts(benchmark: DataFrame, item_id: str, text: str):
     """The benchmark in parts of bounded size: (ids, texts)."""
     ids, texts, chars = [], [], 0
-    for r in benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).filter("i is not null and t is not null").toLocalIterator():
+    for r in benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null").toLocalIterator():
         if ids and (len(ids) >= PART_ITEMS or chars + len(r["t"]) > PART_CHARS):
             yield ids, texts
             ids, texts, chars = [], [], 0

@@ -21,7 +21,7 @@
 
 Cases: texts without a word (null, empty, blank) are classes of their own; texts
 of fewer than five words have one shingle of all their words; rows with one id are
-one document; rows with a null id are left out of the classes (class null); an
+one document; rows with a null id are not in the result, and ``keep_one`` keeps them; an
 empty table gives an empty result. ``keep_one`` keeps all columns.
 """
 
