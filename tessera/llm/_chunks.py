@@ -65,7 +65,7 @@ def chunked(rows: DataFrame, order: tuple[str, ...] = (), tidy: Callable[[pa.Tab
 
     packed = rows.repartition(n, "c").sortWithinPartitions("c", *order).mapInArrow(pack, f"c int, rows array<struct<{inner}>>")
     name, path = f"tessera_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    packed.write.bucketBy(n, "c").option("path", path).saveAsTable(name)
+    packed.write.bucketBy(n, "c").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
