@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._spark import shared_folder
+from ._spark import TABLES, shared_folder
 
 Find = Callable[[list[np.ndarray], list["np.ndarray | None"], list[np.ndarray]], list[np.ndarray]]
 
@@ -38,7 +39,7 @@ def chunked(rows: DataFrame, order: tuple[str, ...] = (), tidy: Callable[[pa.Tab
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = [f for f in rows.schema.fields if f.name != "c"]
-    inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
 
     def pack(batches):
         names = [f.name for f in fields]
@@ -63,8 +64,8 @@ def chunked(rows: DataFrame, order: tuple[str, ...] = (), tidy: Callable[[pa.Tab
         if held:
             yield flush()
 
-    packed = rows.repartition(n, "c").sortWithinPartitions("c", *order).mapInArrow(pack, f"c int, rows array<struct<{inner}>>")
-    name, path = f"tessera_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    packed = rows.repartition(n, "c").sortWithinPartitions("c", *order).mapInArrow(pack, schema)
+    name, path = f"{TABLES}{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     packed.write.bucketBy(n, "c").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 

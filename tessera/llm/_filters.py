@@ -1,32 +1,23 @@
-"""Bloom filters over 64-bit names, built in chunks by hash range.
-
-A filter is a fixed number of bits, split by the leading bits of the names.
-Each chunk is built by one task from the names of its range, so no task holds
-more than its range, and equal names met in map tasks are merged before the
-shuffle. The bits of a finished filter have a fixed size (``bits``), which is
-what bounds the broadcast; with more names than it is made for, a filter lets
-more false suspects through, and the exact steps behind it have more to do.
+"""Two Bloom filters over the names of one slice.
+
+Both follow the number of names that the slice holds, and live only in the task that
+has them: neither is sent anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from typing import NamedTuple
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from ._text import mix
 
 PROBES = 4
+BITS_A_NAME = 10
 
 
 def probes(names: np.ndarray, bits: int) -> list[np.ndarray]:
     """``PROBES`` positions below ``bits`` (a power of two) for every name.
 
-    Names are mixed once more: cut ones end in zeros, and all of a chunk share
-    their first bits.
+    Names are mixed once more: all of a slice share their first bits.
     """
     h = mix(names)
     step = (h >> np.uint64(32)) | np.uint64(1)
@@ -45,86 +36,21 @@ def has(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-class Bloom(NamedTuple):
-    """``chunks`` bitmaps side by side; a name belongs to the chunk of its leading bits."""
-
-    chunk_bits: int
-    bitmap: np.ndarray
-
-    def has(self, names: np.ndarray) -> np.ndarray:
-        size = len(self.bitmap) * 8 >> self.chunk_bits
-        base = (names >> np.uint64(64 - self.chunk_bits)).astype(np.int64) * size
-        out = np.ones(len(names), bool)
-        for at in probes(names, size):
-            at += base
-            out &= (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def _gather(df: DataFrame, chunk_bits: int, bits: int) -> Bloom:
-    """The finished chunks, together ``bits`` / 8 bytes however large the input."""
-    size = bits >> 3 >> chunk_bits
-    bitmap = np.zeros(bits >> 3, np.uint8)
-    for row in df.toLocalIterator():
-        bitmap[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bitmap"], np.uint8)
-    return Bloom(chunk_bits, bitmap)
-
-
-SCHEMA = "chunk int, bitmap binary"
-
-
-PACKED = "chunk int, many boolean, names binary"
-
-
-def truncated(names: np.ndarray, chunk_bits: int, width: int) -> np.ndarray:
-    """The leading bits of names that ``pack`` keeps: the chunk and ``width`` bytes more."""
-    drop = 64 - chunk_bits - 8 * width
-    return names >> np.uint64(drop) << np.uint64(drop) if drop > 0 else names
-
-
-def pack(names: np.ndarray, many: np.ndarray, chunk_bits: int, width: int = 8) -> pa.RecordBatch:
-    """Rows of ``PACKED`` from distinct names in order; ``width`` is 4 or 8 bytes a name."""
-    chunks, flags, blobs = [], [], []
-    for flag in (False, True):
-        part = names[many == flag]
-        owner = (part >> np.uint64(64 - chunk_bits)).astype(np.int64)
-        short = part if width == 8 else (part >> np.uint64(32 - chunk_bits)).astype(np.uint32)
-        cuts = np.searchsorted(owner, np.arange((1 << chunk_bits) + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            chunks.append(c)
-            flags.append(flag)
-            blobs.append(short[cuts[c] : cuts[c + 1]].tobytes())
-    return pa.record_batch([pa.array(chunks, pa.int32()), pa.array(flags, pa.bool_()), pa.array(blobs, pa.binary())], ["chunk", "many", "names"])
+def sized(names: int) -> int:
+    """Bits for this many names: a power of two."""
+    return max(1 << 10, 1 << int(np.ceil(np.log2(BITS_A_NAME * names + 1))))
 
 
-def twice_seen(packed: DataFrame, chunk_bits: int, bits: int, width: int = 8) -> Bloom:
-    """From ``PACKED`` rows, in which a task sends each name once: names seen twice.
+def seen_twice(names: list[np.ndarray], many: list[np.ndarray], bits: int | None = None) -> list[np.ndarray]:
+    """Which names the second filter holds, list by list; a list has each name once.
 
-    Every chunk has two Bloom filters. A name goes into the first; if it is
-    there already, or ``many`` says that its task met it twice, it goes into the
-    second, which is what remains.
+    A name goes into the first filter; if it is there already, or ``many`` says that its
+    list met it twice, it goes into the second one.
     """
-    bits = max(bits, 64 << chunk_bits)
-
-    def build(key, table):
-        chunk = key[0].as_py()
-        many = table.column("many").to_pylist()
-        parts = [np.frombuffer(x, np.uint64 if width == 8 else np.uint32) for x in table.column("names").to_pylist()]
-        whole = lambda x: x if width == 8 else (x.astype(np.uint64) << np.uint64(32 - chunk_bits)) | np.uint64(chunk << (64 - chunk_bits))
-        total = sum(map(len, parts))
-        once = np.zeros(max(1 << 10, 1 << int(np.ceil(np.log2(10 * total + 1)))) >> 3, np.uint8)
-        twice = np.zeros(max(8, bits >> 3 >> chunk_bits), np.uint8)
-        for names, flag in zip(parts, many, strict=True):
-            names = whole(names)
-            put(twice, names if flag else names[has(once, names)])
-            put(once, names)
-        return pa.table({"chunk": pa.array([chunk], pa.int32()), "bitmap": pa.array([twice.tobytes()])})
-
-    return _gather(packed.groupBy("chunk").applyInArrow(build, SCHEMA), chunk_bits, bits)
-
-
-def merged(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names of the parts, and which of them occur more than once."""
-    every = np.concatenate([np.empty(0, np.uint64), *parts])
-    names, n = np.unique(every, return_counts=True)
-    return names, n > 1
+    total = sum(map(len, names))
+    once = np.zeros(sized(total) >> 3, np.uint8)
+    twice = np.zeros((bits or sized(total)) >> 3, np.uint8)
+    for some, flag in zip(names, many, strict=True):
+        put(twice, some[flag | has(once, some)])
+        put(once, some)
+    return [has(twice, some) for some in names]

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{ASCII_SPACE}]++"
+#: names of bucketed tables begin with this
+TABLES = "tessera_"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a local one only where none is named (tests)."""
+    """Use the folder that spark.checkpoint.dir names; in local mode a temporary one where it is unset."""
     if spark.sparkContext.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
@@ -47,7 +52,14 @@ def drop(spark: SparkSession, url: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written in this session; frames made from it can't be read again."""
+    """Delete what the operators have written in this session; frames made from it can't be read again.
+
+    Results are lazy and read these tables, so only the caller knows when a result is
+    done with; what is never swept ends with the checkpoint folder of the session.
+    """
+    for table in spark.catalog.listTables():
+        if table.name.startswith(TABLES):
+            spark.sql(f"drop table if exists `{table.name}`")
     drop(spark, shared_folder(spark))
 
 

@@ -1,22 +1,22 @@
 """Line dedup: two Bloom filters, then exact confirmation of the suspects.
 
-1. Every task names the distinct line keys of its documents with 64-bit hashes
-   and sends each name once.
-2. Two Bloom filters a hash range find the names seen twice (``_filters``).
+1. Rows lie in chunks (``_chunks``); a chunk names the distinct line keys of its
+   documents with 64-bit hashes and asks the slices of the names, each name once.
+2. A slice has two Bloom filters: once-seen names go into the first, those seen again
+   into the second. They follow the number of its names, and no filter is broadcast.
 3. Lines whose name the second filter holds are suspects; only they shuffle, as
    a 128-bit digest of the key with the document's id. Keys with two different
    ids are repeated, and the smallest id keeps them.
-4. Each document drops the lines whose digest it holds but does not keep.
+4. Each document drops the lines whose digest it holds but does not keep. The chunks
+   stay where they are; only the digests move.
 
 A key is the line stripped of ASCII white space at both ends with A-Z in lower
-case. A false suspect costs a shuffled row, never a line. The second filter has
-a fixed size, so its broadcast does not grow; with very many repeats it lets
-more suspects through.
+case. A false suspect costs a shuffled row, never a line.
 
 Cases: a null or empty text is one empty line; keys under ``min_chars`` code
 points are never dropped; rows with one id are one document, so that none of
-them loses a line to another; a null id counts as one id above all others; an
-empty table gives an empty result. ``dedup`` keeps all columns; ``n_chars`` is
+them loses a line to another; a null id counts as one id above all others; ids may be
+of any type with an order; an empty table gives an empty result. ``dedup`` keeps all columns; ``n_chars`` is
 brought up to date where it exists.
 """
 
@@ -26,18 +26,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _filters
-from ._spark import cut, fresh, slices_for, small_batches
+from . import _chunks, _filters
+from ._spark import cut, slices_for, small_batches
 from ._text import Block, Roller, blocks, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MIN_CHARS = 10
-TWICE_BITS = 1 << 27
+CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 16 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -76,58 +78,87 @@ def _digest(data: np.ndarray, lo: int, hi: int) -> bytes:
     return hashlib.blake2b(data[lo:hi].tobytes().lower(), digest_size=16).digest()
 
 
-def _names(docs: DataFrame, min_chars: int, chunk_bits: int) -> DataFrame:
-    def run(batches):
+def _chunked(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int, int]:
+    """Chunks of the rows of ``docs``, whose columns go by position, and the places of id and text."""
+    small_batches(docs)
+    count = F.lit(slices_for(docs, CHUNK_BYTES, 64, 1 << 30))
+    c = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")), count).cast("int")
+    rows = docs.select(c.alias("c"), *(F.col(f"`{x}`").alias(f"f{k}") for k, x in enumerate(docs.columns)))
+    return _chunks.chunked(rows), docs.columns.index(id_col), docs.columns.index(text)
+
+
+class _Held:
+    """The long keys of a chunk: names, the code of each one's id, and where they lie."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, roller: Roller, min_chars: int):
+        codes = ids.dictionary_encode().indices.fill_null(-1).to_numpy()
+        self.blocks, names, owners = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for block in blocks(texts):
+            lines = Lines(block, min_chars)
+            self.blocks.append((block, lines))
+            names.append(lines.names(block, roller))
+            owners.append(block.lo + lines.doc[lines.long])
+        self.every, self.row = np.concatenate(names), np.concatenate(owners).astype(np.int64)
+        self.code = codes[self.row].astype(np.int64) if len(self.row) else self.row
+        order = np.lexsort((self.code, self.every))
+        s, who = self.every[order], self.code[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        first = np.flatnonzero(new)
+        self.names = s[first]
+        #: names that two ids of the chunk hold
+        self.many = who[first] != who[np.append(first, len(s))[1:] - 1] if len(s) else np.empty(0, bool)
+
+    def marked(self, parts, bits: int) -> list[tuple[int, bytes]]:
+        """(row, digest) of the lines whose name is marked, once an id."""
+        hit = _chunks.lookup(self.names, parts, bits)[np.searchsorted(self.names, self.every)]
+        out, at = {}, 0
+        for block, lines in self.blocks:
+            here = np.flatnonzero(hit[at : at + len(lines.long)])
+            for k, a, b in zip((at + here).tolist(), lines.key_start[lines.long[here]].tolist(), lines.key_end[lines.long[here]].tolist(), strict=True):
+                digest = _digest(block.data, a, b)
+                out.setdefault((int(self.code[k]), digest), (int(self.row[k]), digest))
+            at += len(lines.long)
+        return list(out.values())
+
+
+def _lost(chunks: DataFrame, docs: DataFrame, id_at: int, text_at: int, min_chars: int, twice_bits: int | None) -> DataFrame:
+    """(c, lost): the (id, digest) of the lines that the rows of a chunk lose."""
+    bits = slices_for(docs, SLICE_BYTES, 16, 1 << 24).bit_length() - 1
+
+    def ask(batches):
         roller = Roller(11)
-        for batch in batches:
-            parts = []
-            for block in blocks(batch.column(0)):
-                lines = Lines(block, min_chars)
-                h = lines.names(block, roller)
-                pairs = np.stack([lines.doc[lines.long].astype(np.uint64), h])
-                order = np.lexsort(pairs[::-1])
-                pairs = pairs[:, order]
-                new = np.ones(len(h), bool)
-                new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-                parts.append(pairs[1, new])
-            yield _filters.pack(*_filters.merged(parts), chunk_bits)
-
-    return docs.mapInArrow(run, _filters.PACKED)
+        for c, columns, _ in _chunks.chunk_rows(batches):
+            held = _Held(columns[id_at], columns[text_at], roller, min_chars)
+            yield _chunks.asks(c, held.names, held.many, bits)
 
+    def find(names, more, many):
+        return _filters.seen_twice(names, many, twice_bits)
 
-def _suspects(docs: DataFrame, filter_, min_chars: int) -> DataFrame:
-    """(digest, id) for each line that the filter holds, once a text."""
+    twice = cut(_chunks.answered(chunks.mapInArrow(ask, _chunks.ASKS), find))
+    kind = docs.schema.fields[id_at].dataType
 
-    def run(batches):
-        roller, twice = Roller(11), filter_.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            digests, owners = [], []
-            for block in blocks(batch.column(1)):
-                lines = Lines(block, min_chars)
-                hit = lines.long[twice.has(lines.names(block, roller))]
-                own = {(d, _digest(block.data, a, b)) for d, a, b in zip(lines.doc[hit].tolist(), lines.key_start[hit].tolist(), lines.key_end[hit].tolist(), strict=True)}
-                digests += [x[1] for x in own]
-                owners += [ids[block.lo + x[0]] for x in own]
-            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(owners, pa.int64())], ["digest", "id"])
-
-    return docs.mapInArrow(run, "digest binary, id long")
-
-
-def _joined(docs: DataFrame, id_col: str, text: str, min_chars: int, twice_bits: int) -> tuple[DataFrame, str, str]:
-    """``docs`` with the digests that each row loses."""
-    small_batches(docs)
-    key, drop = fresh(docs, "line_id"), fresh(docs, "line_drop")
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    slim = docs.select(ident.alias("id"), F.col(f"`{text}`").alias("text"))
-    chunk_bits = slices_for(docs, 32 << 20, 64, 1 << 14).bit_length() - 1
-    twice = _filters.twice_seen(_names(slim.select("text"), min_chars, chunk_bits), chunk_bits, twice_bits)
-    filter_ = docs.sparkSession.sparkContext.broadcast(twice)
-    suspects = cut(_suspects(slim, filter_, min_chars))
+    def suspect(batches):
+        roller = Roller(11)
+        for c, columns, (parts,) in _chunks.chunk_rows(batches):
+            found = _Held(columns[id_at], columns[text_at], roller, min_chars).marked(parts, bits)
+            rows = pa.array([x for x, _ in found], pa.int64())
+            yield pa.record_batch([pa.array([c] * len(found), pa.int32()), columns[id_at].take(rows), pa.array([x for _, x in found], pa.binary())], ["c", "id", "digest"])
+
+    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("id", kind), T.StructField("digest", T.BinaryType())])
+    # null ids are one id above all others
+    who = F.struct(F.col("id").isNull().alias("last"), "id")
+    suspects = cut(chunks.join(twice.hint("merge"), "c").mapInArrow(suspect, schema).withColumn("who", who))
     # written out, so that the join below shuffles on its own and a hot line can be split
-    keepers = cut(suspects.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last"))
-    lost = suspects.join(keepers, "digest").filter("id <> keeper").groupBy("id").agg(F.collect_set("digest").alias(drop))
-    return docs.withColumn(key, ident).join(lost.withColumnRenamed("id", key), key, "left"), key, drop
+    keepers = cut(suspects.groupBy("digest").agg(F.min("who").alias("keeper"), F.max("who").alias("other")).filter("keeper < other").select("digest", "keeper"))
+    return suspects.join(keepers, "digest").filter("who <> keeper").groupBy("c").agg(F.collect_list(F.struct("id", "digest")).alias("lost"))
+
+
+def _drops(lost) -> dict:
+    out: dict = {}
+    for x in lost or ():
+        out.setdefault(x["id"], set()).add(x["digest"])
+    return out
 
 
 def _kept(text: bytes, drop: set[bytes], min_chars: int) -> tuple[bytes, int]:
@@ -141,49 +172,48 @@ def _kept(text: bytes, drop: set[bytes], min_chars: int) -> tuple[bytes, int]:
     return b"\n".join(kept), len(lines) - len(kept)
 
 
-def _texts(batch: pa.RecordBatch, column: int):
-    for x in batch.column(column):
-        yield (x.as_buffer().to_pybytes() if x.is_valid else b"")
-
-
-def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, twice_bits: int = TWICE_BITS) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, twice_bits: int | None = None) -> DataFrame:
     """id, n_lines, n_dropped, kept_sha256."""
-    joined, _, drop = _joined(docs.select(id_col, text), id_col, text, min_chars, twice_bits)
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    chunks, id_at, text_at = _chunked(docs, "id", "text")
+    lost = _lost(chunks, docs, id_at, text_at, min_chars, twice_bits)
 
     def run(batches):
-        for batch in batches:
-            n, lost, sha = [], [], []
-            for t, d in zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True):
-                kept, dropped = _kept(t, set(d), min_chars) if d else (t, 0)
+        for _, (ids, texts), (drops,) in _chunks.chunk_rows(batches):
+            drops, n, gone, sha = _drops(drops), [], [], []
+            for i, x in zip(ids.to_pylist(), texts, strict=True):
+                t = x.as_buffer().to_pybytes() if x.is_valid else b""
+                mine = drops.get(i) if drops else None
+                kept, dropped = _kept(t, mine, min_chars) if mine else (t, 0)
                 n.append(t.count(b"\n") + 1)
-                lost.append(dropped)
+                gone.append(dropped)
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], ["id", "n", "lost", "sha"])
+            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n", "lost", "sha"])
 
-    out = joined.select(id_col, text, drop).mapInArrow(run, f"id {kind}, n long, lost long, sha string")
+    kind = docs.schema["id"].dataType.simpleString()
+    out = chunks.join(lost.hint("merge"), "c", "left").mapInArrow(run, f"id {kind}, n long, lost long, sha string")
     return out.toDF(id_col, "n_lines", "n_dropped", "kept_sha256")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, twice_bits: int = TWICE_BITS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, twice_bits: int | None = None) -> DataFrame:
     """``docs`` with each text cut to the lines that it keeps."""
-    joined, _, drop = _joined(docs, id_col, text, min_chars, twice_bits)
-    new, size = fresh(joined, "line_text"), fresh(joined, "line_chars")
-    plain = joined.select(*(f"`{c}`" for c in docs.columns), drop)
-    at = docs.columns.index(text)
-    schema = T.StructType([*plain.schema.fields[:-1], T.StructField(new, T.StringType()), T.StructField(size, T.LongType())])
+    chunks, id_at, text_at = _chunked(docs, id_col, text)
+    lost = _lost(chunks, docs, id_at, text_at, min_chars, twice_bits)
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns and text != "n_chars" else None
+    schema = T.StructType([T.StructField(f"f{k}", f.dataType) for k, f in enumerate(docs.schema.fields)])
+    kind = pa.int64() if size_at is None else {T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.DoubleType: pa.float64(), T.StringType: pa.string()}.get(type(schema.fields[size_at].dataType), pa.int64())
 
     def run(batches):
-        for batch in batches:
-            drops = batch.column(batch.num_columns - 1).to_pylist()
-            column = batch.column(at)
-            texts = [x if not d else _kept(x.encode(), set(d), min_chars)[0].decode() for x, d in zip(column.to_pylist(), drops, strict=True)]
-            sizes = [None if x is None else len(x) for x in texts]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], new, size])
-
-    out = plain.mapInArrow(run, schema)
-    put = {text: F.col(new)} | ({"n_chars": F.col(size).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns and text != "n_chars" else {})
-    return out.select(*(put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns))
+        for _, columns, (drops,) in _chunks.chunk_rows(batches):
+            drops = _drops(drops)
+            if drops:
+                pairs = zip(columns[id_at].to_pylist(), columns[text_at].to_pylist(), strict=True)
+                columns[text_at] = pa.array([x if x is None or i not in drops else _kept(x.encode(), drops[i], min_chars)[0].decode() for i, x in pairs], pa.string())
+            if size_at is not None:
+                columns[size_at] = pc.utf8_length(columns[text_at]).cast(kind)
+            yield pa.record_batch(columns, [f"f{k}" for k in range(len(columns))])
+
+    return chunks.join(lost.hint("merge"), "c", "left").mapInArrow(run, schema).toDF(*docs.columns)
 
 
 ORACLE = """
