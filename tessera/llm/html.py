@@ -1,17 +1,20 @@
 """HTML extraction by line-block distribution.
 
-The page becomes a list of lines, one for each block of text; markup, scripts,
-styles and comments are stripped, and what lies in an element that names itself
-as something else than the article (menu, advert, form, reader comments and so
-on) counts as empty lines. Over this list, a window of ``WINDOW`` lines slides;
-the sums of text lengths in it surge where the article begins and dive to zero
-where it ends. Empty lines are put in where containers meet, so that neighbours
-of different kinds do not share a window. The text between a surge and its dive is
-kept if the surge is high or the stretch holds a good part of the page; where the page
-marks its article, the stretches inside it count, and only those.
-
-A line whose text is mostly links has length zero. Everything works on one page
-at a time, in one pass over its whole text.
+The page becomes a list of lines, one for each block of text, with markup, scripts,
+styles and comments stripped, and each line has a length. Over this list, a window of
+``WINDOW`` lines slides; the sums of lengths in it surge where the article begins and
+dive to zero where it ends. The text between a surge and its dive is kept, whole, if the
+surge is high or the stretch holds a good part of the page; a lower stretch between two
+that are kept in the same container is kept too.
+
+Tags only shape the lengths; the surges and dives alone decide. A line whose text is
+mostly links has length zero. Containers put empty lines where they meet, so that
+neighbours of different kinds do not share a window. What lies in an element that names
+itself as something else than the article (menu, advert, form, reader comments and so
+on) is empty lines. Where the page marks its article, lines inside it are as long as a
+surge at least, and those outside have length zero.
+
+Everything works on one page at a time, in one pass over its whole text.
 
 Cases: null, empty and textless pages give an empty text; unclosed elements end
 with the page, or where an article begins; a page of one short line is kept; rows
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +42,7 @@ LINK_SHARE = 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|iframe|svg|math|object|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|title|textarea|iframe|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -69,30 +73,42 @@ def _names_itself(attrs: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
-    """(text, length, article) for each line; length 0 also for text that does not count.
+class Line(NamedTuple):
+    """A line of a page: its length in the distribution, and the containers around it."""
 
-    ``article`` numbers the marked article around the line, 0 for none.
-    """
-    out: list[tuple[str, int, int]] = []
+    text: str
+    length: int
+    own: int = 0
+    around: int = 0
+
+
+GAP = Line("", 0)
+
+
+def lines_of(html: str) -> list[Line]:
+    """The lines of a page in order, with empty ones between containers."""
+    out: list[Line] = []
+    inner: list[bool] = []
     text: list[str] = []
     links = 0
     in_link = False
     skip, depth = "", 0
     inside: list[str] = []
-    article = 0
+    boxes, count = [0, 0], 0
 
     def flush() -> None:
         nonlocal links
         line = " ".join(unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((line, 0 if links > LINK_SHARE * len(line) else len(line), article if inside else 0))
+            out.append(Line(line, 0 if links > LINK_SHARE * len(line) else len(line), boxes[-1], boxes[-2]))
+            inner.append(bool(inside))
         links = 0
 
     def gap(n: int) -> None:
         flush()
-        out.extend([("", 0, 0)] * n)
+        out.extend([GAP] * n)
+        inner.extend([False] * n)
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -121,8 +137,6 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if tag in ARTICLE:
             gap(WINDOW)
             if opens:
-                if not inside:
-                    article += 1
                 inside.append(tag)
             elif tag in inside:
                 inside.pop()
@@ -132,6 +146,11 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
                 skip, depth = tag, 1
         elif tag in ("div", "section"):
             gap(1 if opens else WINDOW - 1)
+            if opens:
+                count += 1
+                boxes.append(count)
+            elif len(boxes) > 2:
+                boxes.pop()
         elif tag in BLOCKS:
             flush()
         elif tag in ("br", "td", "th", "img", "wbr"):
@@ -141,36 +160,59 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
     if not skip:
         text.append(html[at:])
     flush()
+    if any(inner):
+        return [x._replace(length=max(len(x.text), SURGE_CHARS) if i else 0) for x, i in zip(out, inner, strict=True)]
     return out
 
 
-def article_of(html: str | None) -> str:
-    """The main text: blocks joined by an empty line."""
-    if not html:
-        return ""
-    lines = lines_of(html)
-    n = len(lines)
-    sizes = [x[1] for x in lines]
-    blocks = [sum(sizes[i : i + WINDOW]) for i in range(n)]
-    if not any(blocks):
-        return ""
-    surge = min(SURGE_CHARS, SURGE_SHARE * max(blocks))
-    regions: list[tuple[int, int, int]] = []
-    i = 0
+class Stretch(NamedTuple):
+    """Lines ``lo`` to ``hi`` between a surge and its dive: the highest window and all lengths."""
+
+    lo: int
+    hi: int
+    peak: int
+    mass: int
+
+
+def stretches(lengths: list[int]) -> list[Stretch]:
+    """From where a window rises above zero to where it is zero again, without the empty ends."""
+    n = len(lengths)
+    windows = [sum(lengths[i : i + WINDOW]) for i in range(n)]
+    out, i = [], 0
     while i < n:
-        if blocks[i] == 0:
+        if windows[i] == 0:
             i += 1
             continue
         dive = i
-        while dive < n and blocks[dive] > 0:
+        while dive < n and windows[dive] > 0:
             dive += 1
-        regions.append((i, min(n, dive), max(blocks[i:dive])))
+        full = [k for k in range(i, dive) if lengths[k]]
+        out.append(Stretch(full[0], full[-1] + 1, max(windows[i:dive]), sum(lengths[k] for k in full)))
         i = dive
-    marked = [r for r in regions if any(lines[k][2] for k in range(*r[:2]) if sizes[k])]
-    mass = lambda r: sum(sizes[r[0] : r[1]])
-    least = REGION_SHARE * max(map(mass, regions))
-    high = [r for r in regions if r[2] >= surge and (r[2] >= SURGE_CHARS or mass(r) >= least)]
-    return "\n\n".join(lines[k][0] for r in marked or high for k in range(*r[:2]) if lines[k][0] and (lines[k][2] if marked else sizes[k]))
+    return out
+
+
+def article_of(html: str | None) -> str:
+    """The main text: blocks joined by an empty line."""
+    if not html:
+        return ""
+    lines = lines_of(html)
+    found = stretches([x.length for x in lines])
+    if not found:
+        return ""
+    surge = min(SURGE_CHARS, SURGE_SHARE * max(x.peak for x in found))
+    least = REGION_SHARE * max(x.mass for x in found)
+    high = [x.peak >= surge and (x.peak >= SURGE_CHARS or x.mass >= least) for x in found]
+    kept, left, after = list(high), [], None
+    for k, ok in enumerate(high):
+        left.append(k if ok else left[-1] if left else None)
+    for k in range(len(found) - 1, -1, -1):
+        if high[k]:
+            after = k
+        elif left[k] is not None and after is not None:
+            box = lines[found[k].lo].around
+            kept[k] = all(box in lines[found[x].lo][2:] for x in (left[k], after))
+    return "\n\n".join(lines[k].text for x, ok in zip(found, kept, strict=True) if ok for k in range(x.lo, x.hi) if lines[k].text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
