@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,23 +12,42 @@ from pyspark.sql import functions as F
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, most: int, window_ms: int) -> DataFrame:
     """key, order, accepted, retry_after: a sliding log of accepted calls.
 
-    A rejected call is not logged, so that the log needs state: a fold over a key's
-    calls in order, holding at most ``most`` times. The calls of one key are folded
-    in one task; use the streaming twin for keys without end.
+    A rejected call is not logged, so that the log needs state. After a whole window
+    without a call the log is empty, so a key's calls are split there and the parts are
+    worked on apart. A part is read in order, row by row, holding at most ``most`` times:
+    neither a busy key nor a long one is gathered anywhere.
     """
     at = F.unix_millis(F.col(ts).cast("timestamp"))
-    calls = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col(order).alias("o")))).alias("calls"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<o: bigint, accepted: boolean, retry_after: bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        kept = F.filter(s["log"], lambda t: x["t"] - t < window_ms)
-        ok = F.size(kept) < most
-        wait = F.greatest(F.lit(1), F.ceil((F.lit(window_ms) - (x["t"] - F.array_min(kept))) / 1000)).cast("bigint")
-        row = F.struct(x["o"].cast("bigint").alias("o"), ok.alias("accepted"), F.when(ok, F.lit(0).cast("bigint")).otherwise(wait).alias("retry_after"))
-        return F.struct(F.when(ok, F.array_append(kept, x["t"])).otherwise(kept).alias("log"), F.array_append(s["out"], row).alias("out"))
-
-    folded = calls.select(key, F.explode(F.aggregate("calls", zero, step)["out"]).alias("r"))
-    return folded.select(key, F.col("r.o").alias(order), F.col("r.accepted").alias("accepted"), F.col("r.retry_after").alias("retry_after"))
+    calls = events.select(F.col(key).alias("key"), at.alias("t"), F.col(order).cast("long").alias("o"), F.floor(at / window_ms).alias("slot"))
+    # of the slots with a call, those after an empty one begin a part
+    slots = calls.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    runs = Window.partitionBy("key").orderBy("slot")
+    begins = F.when(F.coalesce(F.col("slot") - F.lag("slot").over(runs) > 1, F.lit(True)), F.col("slot"))
+    slots = slots.withColumn("begins", begins).withColumn("part", F.last("begins", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = slots.select(F.col("key").alias("k"), F.col("slot").alias("s"), "part")
+    calls = calls.join(slots, F.col("key").eqNullSafe(F.col("k")) & (F.col("slot") == F.col("s"))).select("key", "part", "t", "o")
+    ordered = calls.repartition("key", "part").sortWithinPartitions("key", "part", "t", "o")
+
+    def run(batches):
+        now, log = None, deque()
+        for batch in batches:
+            keys, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            accepted, wait = [], []
+            for k, p, t in zip(keys, parts, batch.column(2).to_pylist(), strict=True):
+                if now != (k, p):
+                    now = (k, p)
+                    log.clear()
+                while log and t - log[0] >= window_ms:
+                    log.popleft()
+                ok = len(log) < most
+                accepted.append(ok)
+                wait.append(0 if ok else max(1, -((t - log[0] - window_ms) // 1000)))
+                if ok:
+                    log.append(t)
+            yield pa.record_batch([batch.column(0), batch.column(3), pa.array(accepted, pa.bool_()), pa.array(wait, pa.int64())], ["key", "o", "accepted", "retry_after"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return ordered.mapInArrow(run, f"key {kind}, o long, accepted boolean, retry_after long").toDF(key, order, "accepted", "retry_after")
 
 
 def locked_out(failures: DataFrame, key: str, ts: str, order: str, most: int, window_ms: int) -> DataFrame:
@@ -60,11 +82,56 @@ def webhook_action(events: DataFrame, now: Column) -> DataFrame:
     return events.withColumn("action", F.when(skip, "skip").otherwise("process"))
 
 
-def outbox_due(words: DataFrame, now: Column, limit: int = 20) -> DataFrame:
-    """The next batch: live, not forwarded, due; oldest first."""
+LEASE_MS = 150_000
+
+
+def due_words(words: DataFrame, now: Column) -> DataFrame:
+    """Live, not forwarded, and neither leased nor waiting for a retry."""
     owed = words.filter(F.col("deleted_at").isNull() & F.col("forwarded_at").isNull())
-    due = owed.filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
-    return due.orderBy("created_at", "id").limit(limit)
+    return owed.filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
+
+
+def outbox_due(words: DataFrame, now: Column, limit: int = 20) -> DataFrame:
+    """The next batch, oldest first."""
+    return due_words(words, now).orderBy("created_at", "id").limit(limit)
+
+
+def _after_ms(now: Column, ms: Column | int) -> Column:
+    ms = F.lit(ms) if isinstance(ms, int) else ms
+    return now + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18, 6)"))
+
+
+def claim(words: DataFrame, now: Column, limit: int = 1, lease_ms: int = LEASE_MS) -> DataFrame:
+    """The table after a worker has claimed the oldest due rows, found by a subquery; ``claimed`` marks them.
+
+    A claim is a lease: ``next_attempt_at`` moves on, so that no other worker takes the row
+    before it ends. Attempts are counted when one fails, not here.
+    """
+    top = outbox_due(words, now, limit).select(F.col("id").alias("__top"))
+    out = words.join(top, F.col("id") == F.col("__top"), "left")
+    hit = F.col("__top").isNotNull()
+    kind = words.schema["next_attempt_at"].dataType
+    lease = F.when(hit, _after_ms(now, lease_ms).cast(kind)).otherwise(F.col("next_attempt_at"))
+    return out.withColumn("next_attempt_at", lease).withColumn("claimed", hit).drop("__top")
+
+
+def settle(words: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The table after attempts: ``outcomes`` has id and error (null: forwarded).
+
+    A forwarded row is stamped and cleared; a failed one counts an attempt, keeps the
+    error, and is due again after its backoff.
+    """
+    o = outcomes.select(F.col("id").alias("__id"), F.col("error").alias("__error"))
+    out = words.join(o, F.col("id") == F.col("__id"), "left")
+    hit, failed = F.col("__id").isNotNull(), F.col("__error").isNotNull()
+    attempts = F.col("attempts") + F.when(failed, 1).otherwise(0)
+    columns = {
+        "attempts": attempts.cast(words.schema["attempts"].dataType),
+        "forwarded_at": F.when(hit & ~failed, now).otherwise(F.col("forwarded_at")),
+        "next_attempt_at": F.when(failed, _after_ms(now, backoff_ms(attempts))).when(~hit, F.col("next_attempt_at")),
+        "last_error": F.when(failed, F.substring("__error", 1, 500)).when(~hit, F.col("last_error")),
+    }
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in words.columns))
 
 
 # fixed values: stages and the share of the whole at which each begins and ends
@@ -78,3 +145,13 @@ def progress(stage: Column, done: Column, total: Column) -> Column:
         part = F.when(total > 0, done / total).otherwise(1.0)
         out = F.when(stage == name, F.floor(a + (b - a) * part)).otherwise(out)
     return out.cast("int")
+
+
+def runs_on(jobs: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Cancellation checkpoints: for each (id, at), whether the job had not been cancelled by then.
+
+    ``jobs``: id, cancelled_at (null: never). A checkpoint of an unknown job stops.
+    """
+    j = jobs.select(F.col("id").alias("__id"), "cancelled_at")
+    go = F.col("__id").isNotNull() & (F.col("cancelled_at").isNull() | (F.col("cancelled_at") > F.col("at")))
+    return checkpoints.join(j, F.col("id") == F.col("__id"), "left").withColumn("go", go).drop("__id", "cancelled_at")

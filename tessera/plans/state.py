@@ -69,3 +69,58 @@ def progress(spark, sf_dir):
     o = read(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'")
     stage = F.when(F.col("o_orderstatus") == "P", "text").otherwise("finalize")
     return o.select("o_orderkey", state.progress(stage, F.col("o_orderkey") % 11, F.lit(10.0)).alias("percent"))
+
+
+LEASED = "timestamp '2024-01-15 12:02:30'"
+WORDS_SQL = f"words as (select id, created_at, case when status = 'completed' then updated_at end as deleted_at, case when cost_cents is not null then updated_at end as forwarded_at, case when id % 4 <> 0 then updated_at end as next_attempt_at, cast(id % 3 as int) as attempts from jobs)"
+SHOW = "coalesce(strftime({0}, '%Y-%m-%d %H:%M:%S'), '-') as {0}"
+
+
+def _words(spark, sf_dir):
+    j = _jobs(spark, sf_dir)
+    return j.select(
+        "id", "created_at", F.when(F.col("status") == "completed", F.col("updated_at")).alias("deleted_at"), F.when(F.col("cost_cents").isNotNull(), F.col("updated_at")).alias("forwarded_at"),
+        F.when(F.col("id") % 4 != 0, F.col("updated_at")).alias("next_attempt_at"), (F.col("id") % 3).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"),
+    )
+
+
+def _time(c):
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias(c)
+
+
+@query(f"""with {JOBS_SQL}, {WORDS_SQL}, top as (select id from words where deleted_at is null and forwarded_at is null and (next_attempt_at is null or next_attempt_at <= {NOW}) order by created_at, id limit 1)
+select id, strftime(case when id = (select id from top) then {LEASED} else coalesce(next_attempt_at, timestamp '2000-01-01') end, '%Y-%m-%d %H:%M:%S') as next_attempt_at, id = (select id from top) as claimed from words""")
+def claim_next(spark, sf_dir):
+    """An update of the one row that a subquery finds: the oldest due one is leased."""
+    out = state.claim(_words(spark, sf_dir), ts("2024-01-15 12:00:00"))
+    at = F.coalesce("next_attempt_at", ts("2000-01-01 00:00:00"))
+    return out.select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("next_attempt_at"), "claimed")
+
+
+@query(f"""with {JOBS_SQL}, {WORDS_SQL}, top as (select id from words where deleted_at is null and forwarded_at is null and (next_attempt_at is null or next_attempt_at <= {NOW}) order by created_at, id limit 40),
+n as (select id, row_number() over (order by id) as k from top), o as (select id, k % 2 = 0 as failed from n),
+x as (select w.*, o.id is not null as hit, coalesce(failed, false) as failed from words w left join o on o.id = w.id)
+select id, cast(attempts + case when failed then 1 else 0 end as int) as attempts, {SHOW.format("forwarded_at")}, {SHOW.format("next_attempt_at")}, coalesce(last_error, '-') as last_error from (
+  select id, attempts, failed, case when hit and not failed then {NOW} else forwarded_at end as forwarded_at,
+    case when failed then {NOW} + to_milliseconds(cast(30000 * pow(2, attempts) as bigint)) when not hit then next_attempt_at end as next_attempt_at, case when failed then 'no answer' end as last_error from x)""")
+def settle_claims(spark, sf_dir):
+    """Two workers claim 20 rows each, one after the other; every second attempt fails."""
+    from pyspark.sql import Window
+
+    words, now = _words(spark, sf_dir), ts("2024-01-15 12:00:00")
+    first = state.claim(words, now, 20)
+    second = state.claim(first.drop("claimed"), now, 20)
+    both = first.filter("claimed").select("id").unionByName(second.filter("claimed").select("id"))
+    k = F.row_number().over(Window.orderBy("id"))
+    outcomes = both.withColumn("error", F.when(k % 2 == 0, "no answer"))
+    out = state.settle(words, outcomes, now)
+    return out.select("id", "attempts", _time("forwarded_at"), _time("next_attempt_at"), F.coalesce("last_error", F.lit("-")).alias("last_error"))
+
+
+@query("select o_orderkey as id, o_orderstatus <> 'F' or o_orderkey % 2 = 0 as go from orders")
+def cancellation_checkpoints(spark, sf_dir):
+    """Jobs of status F were cancelled on their date; odd ones come to a checkpoint after it."""
+    o = read(spark, sf_dir, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("cancelled_at"))
+    moved = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate") - F.expr("interval 1 day")).otherwise(F.col("o_orderdate"))
+    return state.runs_on(jobs, o.select(F.col("o_orderkey").alias("id"), moved.alias("at"))).select("id", "go")
