@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,17 @@ def exact_claims(old: DataFrame, new: DataFrame, keys: list[str], order_old: str
     return number(new, order_new).join(number(old, order_old), [*keys, "__n"], "left").drop("__n")
 
 
-def overlaps(old: DataFrame, new: DataFrame, key: str, old_range: tuple[str, str], new_range: tuple[str, str]) -> DataFrame:
-    """Pairs of one key whose closed ranges meet, with the common part: an equi join plus a filter."""
+def overlaps(old: DataFrame, new: DataFrame, key: str, old_range: tuple[str, str], new_range: tuple[str, str], step: int = 32) -> DataFrame:
+    """Pairs of one key whose closed ranges meet, with the common part.
+
+    Both sides are cut at multiples of ``step`` and meet by key and cut, so that ranges
+    far apart are never paired, however many a key has; a pair counts at its first cut.
+    """
     (a, b), (c, d) = old_range, new_range
-    both = new.join(old, key).filter((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)))
+    first = lambda x: F.floor(F.col(x) / step)
+    cuts = lambda df, x, y: df.filter(F.col(x) <= F.col(y)).withColumn("__cut", F.explode(F.sequence(first(x), first(y))))
+    both = cuts(new, c, d).join(cuts(old, a, b), [key, "__cut"]).filter((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)))
+    both = both.filter(F.col("__cut") == F.greatest(first(a), first(c))).drop("__cut")
     return both.withColumn("from", F.greatest(a, c)).withColumn("to", F.least(b, d))
 
 
@@ -62,6 +71,28 @@ def carry_over(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return out.select(key, "ord", "start", "end", n.alias("read_pages"), read.alias("is_read"), F.when(read, F.col("last_read")).alias("read_at"))
 
 
+def replace_structure(old: DataFrame, new: DataFrame, key: str, now: Column, texts: Sequence[str] = ("text",)) -> DataFrame:
+    """Sections after a new structure is saved: live old ones as tombstones, and the new ones.
+
+    ``old``: key, ord, start_page, end_page, is_read, read_at, deleted_at and ``texts``;
+    ``new``: key, ord, start, end. A new section with exactly an old one's range keeps its
+    texts and the time it was read, each old one claimed once; read state is carried over.
+    """
+    alive = old.filter("deleted_at is null")
+    gone = old.withColumn("deleted_at", F.coalesce("deleted_at", now)).withColumn("is_new", F.lit(False))
+    kept = [F.col(x).alias(f"__{x}") for x in ("read_at", *texts)]
+    ranges = alive.select(key, F.col("start_page").alias("start"), F.col("end_page").alias("end"), F.col("ord").alias("__ord"), *kept)
+    claimed = exact_claims(ranges, new.select(key, "start", "end", "ord"), [key, "start", "end"], "__ord", "ord")
+    carried = carry_over(alive.select(key, "start_page", "end_page", "is_read", "read_at"), new, key).drop("start", "end", "read_pages")
+    both = claimed.join(carried, [key, "ord"])
+    read_at = F.when(F.col("is_read"), F.coalesce("__read_at", "read_at", now))
+    made = {"start_page": F.col("start"), "end_page": F.col("end"), "read_at": read_at, "deleted_at": F.lit(None).cast(old.schema["deleted_at"].dataType)}
+    made |= {x: F.col(f"__{x}") for x in texts} | {x: F.col(x) for x in (key, "ord", "is_read")}
+    columns = [c for c in old.columns if c in made]
+    fresh = both.select(*(made[c].cast(old.schema[c].dataType).alias(c) for c in columns), F.lit(True).alias("is_new"))
+    return gone.select(*columns, "is_new").unionByName(fresh)
+
+
 def range_ends(leaves: DataFrame, doc: str, total: Column) -> DataFrame:
     """Ends of leaves in document order: doc, ord, chapter, page.
 

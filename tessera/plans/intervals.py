@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
@@ -57,25 +58,27 @@ def carry_over(spark, sf_dir):
     return out.select("book_id", "ord", "read_pages", "is_read", F.coalesce(F.date_format("read_at", "yyyy-MM-dd"), F.lit("-")).alias("read_at"))
 
 
-def _covered(spark, sf_dir, s):
-    pages = read(spark, sf_dir, "part").filter("p_partkey <= 120 and p_partkey % 13 <> 0").select(F.col("p_partkey").cast("int").alias("page"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("md"))
-    out = iv.covered(s, pages, ["book_id", "no"], "md")
+def _covered(spark, sf_dir, last=None):
+    p = read(spark, sf_dir, "part").filter("p_partkey % 13 <> 0")
+    p = p if last is None else p.filter(F.col("p_partkey") <= last)
+    pages = p.select(F.col("p_partkey").cast("int").alias("page"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("md"))
+    out = iv.covered(sections(spark, sf_dir), pages, ["book_id", "no"], "md")
     return out.withColumn("text", F.coalesce("text", F.lit("-")))
 
 
-PAGES_SQL = "pages_md as (select cast(p_partkey as int) as page, case when p_partkey % 7 = 0 then '' else p_name end as md from part where p_partkey <= 120 and p_partkey % 13 <> 0)"
+PAGES_SQL = "pages_md as (select cast(p_partkey as int) as page, case when p_partkey % 7 = 0 then '' else p_name end as md from part where p_partkey % 13 <> 0)"
 
 
-@query(f"""{S}, {PAGES_SQL}, w as (select book_id, no, unnest(generate_series(start_page, end_page)) as page from sections where book_id % 10 = 0)
+@query(f"""{S}, {PAGES_SQL}, w as (select book_id, no, unnest(generate_series(start_page, end_page)) as page from sections)
 select book_id, no, count(*) as n_pages, count(*) filter (where md is null) as n_missing, case when count(*) filter (where md is null) = 0 then coalesce(string_agg(md, chr(10) || chr(10) order by w.page) filter (where md <> ''), '') else '-' end as text from w left join pages_md p on p.page = w.page group by 1, 2""")
 def page_cover(spark, sf_dir):
-    return _covered(spark, sf_dir, sections(spark, sf_dir).filter("book_id % 10 = 0"))
+    return _covered(spark, sf_dir)
 
 
 @query()
 def page_cover_all(spark, sf_dir):
-    """As ``page_cover``, over all sections."""
-    return _covered(spark, sf_dir, sections(spark, sf_dir))
+    """As ``page_cover``, of a book of which only the first 120 pages are there."""
+    return _covered(spark, sf_dir, 120)
 
 
 LEAVES_SQL = "leaves as (select conv_id, turn as ord, turn // 3 as chapter, case when (conv_id + turn) % 5 <> 0 then cast(turn * 4 + conv_id % 3 + 1 as int) end as page from conversations)"
@@ -93,8 +96,33 @@ def outline_ranges(spark, sf_dir):
     return iv.range_ends(leaves, "conv_id", F.lit(100)).select("conv_id", "ord", "chapter", "start", "chapter_start", "chapter_end", "end")
 
 
-@query("""with b as (select p_partkey as id, cast(p_size * 13 as int) as pages from part where p_partkey <= 300), s as (select *, case when pages <= 20 then pages when pages <= 100 then 10 when pages <= 500 then 20 else 30 end as size from b where pages > 0)
+@query("""with b as (select p_partkey as id, cast(p_size * 13 as int) as pages from part), s as (select *, case when pages <= 20 then pages when pages <= 100 then 10 when pages <= 500 then 20 else 30 end as size from b where pages > 0)
 select id, cast(page as int) as page, cast((page - 1) // size as int) as chapter, cast(page - (page - 1) // size * size as int) as place from (select *, unnest(generate_series(1, pages)) as page from s)""")
 def batch_structure(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 13).cast("int").alias("pages"))
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 13).cast("int").alias("pages"))
     return iv.batch_structure(p, "pages").select("id", "page", "chapter", "place")
+
+
+#: line numbers repeat within an order; here each line has a place of its own
+NUMBERED_SQL = SECTIONS_SQL.replace("sections as", "raw as", 1) + ", sections as (select * replace (row_number() over (partition by book_id order by no, start_page, end_page, updated_at, is_read) as no) from raw)"
+
+
+@query(f"""with {NUMBERED_SQL}, {NEW_SQL},
+o as (select book_id, start_page as s, end_page as e, no, read_at, row_number() over (partition by book_id, start_page, end_page order by no) as n from sections),
+g as (select *, row_number() over (partition by book_id, "start", "end" order by ord) as n from fresh),
+m as (select g.book_id, g.ord, g."start", g."end", o.no as claimed, o.read_at from g left join o on g.book_id = o.book_id and g."start" = o.s and g."end" = o.e and g.n = o.n),
+p as (select f.book_id, f.ord, unnest(generate_series(greatest(o.start_page, f."start"), least(o.end_page, f."end"))) as page from sections o join fresh f on o.book_id = f.book_id and o.start_page <= f."end" and f."start" <= o.end_page where o.is_read),
+c as (select book_id, ord, count(distinct page) as n from p group by 1, 2),
+l as (select f.book_id, f.ord, max(o.read_at) as t from sections o join fresh f on o.book_id = f.book_id and o.start_page <= f."end" and f."start" <= o.end_page where o.is_read group by 1, 2),
+x as (select m.*, coalesce(c.n, 0) * 2 > m."end" - m."start" + 1 as r, l.t from m left join c on c.book_id = m.book_id and c.ord = m.ord left join l on l.book_id = m.book_id and l.ord = m.ord)
+select book_id, ord, "start" as start_page, "end" as end_page, r as is_read, case when r then strftime(coalesce(read_at, t, timestamp '2000-01-01'), '%Y-%m-%d') else '-' end as read_at, coalesce('text ' || claimed, '-') as text, '-' as deleted_at, true as is_new from x
+union all select book_id, no, start_page, end_page, is_read, coalesce(strftime(read_at, '%Y-%m-%d'), '-'), 'text ' || no, '2000-01-01', false from sections""")
+def structure_replace(spark, sf_dir):
+    """A new structure for every book: old sections as tombstones, new ones with what they keep."""
+    place = Window.partitionBy("book_id").orderBy("no", "start_page", "end_page", "updated_at", "is_read")
+    s = sections(spark, sf_dir).withColumn("no", F.row_number().over(place).cast("long"))
+    none = F.lit(None).cast("timestamp_ntz")
+    old = s.select("book_id", F.col("no").alias("ord"), "start_page", "end_page", "is_read", "read_at", F.concat(F.lit("text "), F.col("no").cast("string")).alias("text"), none.alias("deleted_at"))
+    out = iv.replace_structure(old, _new(s), "book_id", F.expr("timestamp_ntz '2000-01-01 00:00:00'"))
+    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("-")).alias(c)
+    return out.select("book_id", "ord", "start_page", "end_page", "is_read", day("read_at"), F.coalesce("text", F.lit("-")).alias("text"), day("deleted_at"), "is_new")
