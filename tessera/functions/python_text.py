@@ -73,22 +73,14 @@ def resolve_href(href: pd.Series, folder: pd.Series) -> pd.Series:
     return pd.Series([resolve(h, d or "") if h is not None else None for h, d in zip(href, folder, strict=True)])
 
 
-def sanitize(name: str, limit: int = 200) -> str:
-    """A safe file name of at most ``limit`` code points."""
-    return re.sub(r"\s+", " ", re.sub(r'[\x00-\x1f\x7f"\\/:*?<>|]+', " ", name)).strip()[:limit] or "file"
-
-
-@F.pandas_udf(T.StringType())
-def sanitize_name(name: pd.Series) -> pd.Series:
-    return name.map(lambda n: sanitize(n) if n is not None else None)
-
-
 def signature_pages(text: str, signatures: list[str], least: int = 50) -> list[str]:
     """A text cut where each page's first words occur, at least ``least`` after the page before.
 
     Pages whose signature is missing share the room up to the next found one evenly.
     """
     n = len(signatures)
+    if not n:
+        return []
     starts: list[int | None] = [0] * min(n, 1)
     last = 0
     for s in signatures[1:]:
@@ -101,3 +93,9 @@ def signature_pages(text: str, signatures: list[str], least: int = 50) -> list[s
         for k in range(a + 1, b):
             starts[k] = starts[a] + (end - starts[a]) * (k - a) // (b - a)
     return [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_by_signatures(text: pd.Series, signatures: pd.Series) -> pd.Series:
+    """``signature_pages`` by row; null without a text."""
+    return pd.Series([None if t is None else signature_pages(t, [x or "" for x in s] if s is not None else []) for t, s in zip(text, signatures, strict=True)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_json_object, strip_fences
+from .text import first_json, strip_fences
 
 UUID = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
@@ -22,7 +22,7 @@ def to_time(text: Column) -> Column:
 
 def json_of(text: Column, schema: str) -> Column:
     """The first object in a text, fenced or not, read by a schema; null if there is none."""
-    return F.from_json(first_json_object(strip_fences(text)), schema)
+    return F.from_json(first_json(strip_fences(text)), schema)
 
 
 def masked(secret: Column, shown: int = 4) -> Column:

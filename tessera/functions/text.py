@@ -184,9 +184,33 @@ def strip_fences(text: Column) -> Column:
     return trim(F.when(inside != "", inside).otherwise(text))
 
 
-def first_json_object(text: Column) -> Column:
-    """From the first opening to the last closing brace; null without them."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+def first_json(text: Column, shape: str = "object") -> Column:
+    """From the first opening to the last closing brace (``array``: bracket); null without them."""
+    pattern = {"object": r"(?s)(\{.*\})", "array": r"(?s)(\[.*\])"}[shape]
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def safe_name(title: Column, most: int = 100) -> Column:
+    """A file name: no quotes, backslashes or control characters, ``_`` for path marks, ``most`` code points."""
+    bare = F.regexp_replace(F.regexp_replace(title, r'["\\\x00-\x1f\x7f]', ""), r"[/:*?<>|]", "_")
+    return F.coalesce(F.nullif(trim(F.substring(bare, 1, most)), F.lit("")), F.lit("download"))
+
+
+def clamped(value: Column, most: int) -> Column:
+    """Trimmed and cut at ``most`` code points, without white space at the cut."""
+    return F.regexp_replace(F.substring(trim(value), 1, most), r"\s+\z", "")
+
+
+# fixed values: what form encoding writes in another way than percent encoding of attributes
+PERCENT = (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%21", "!"))
+
+
+def content_disposition(title: Column, ext: str) -> Column:
+    """A download header with an ASCII name and the whole name in percent-encoded UTF-8."""
+    name = F.concat(safe_name(title), F.lit(f".{ext}"))
+    ascii_name = F.regexp_replace(name, r"[^\x20-\x7e]", "_")
+    encoded = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), PERCENT, F.url_encode(name))
+    return F.concat(F.lit('attachment; filename="'), ascii_name, F.lit("\"; filename*=UTF-8''"), encoded)
 
 
 def clean_markers(markdown: Column) -> Column:

@@ -1,12 +1,11 @@
 """Document structure from positioned text items and outlines.
 
-A page's items fit a task many times over, so grouped maps work page by page or
-document by document; statistics and classification are expressions.
+Lines, paragraphs and words are expressions, windows and folds on a page's items; only the
+walk over an outline, a tree of titles, is a grouped map by document.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -33,32 +32,37 @@ HEAD = (r"(?i)^(chapter|part|section)\s+[\divxlc]+", r"(?i)^\d+\s+(chapter|part|
 FOOT = (r"^\d+\z", r"^[-–—]\s*\d+\s*[-–—]\z", r"(?i)^page\s+\d+")
 NOTE = r"^(\d+|[*†‡§¶]|\(\d+\))\s*(.+)"
 
-LINES = "doc string, page int, line int, y double, height double, page_height double, text string, fonts array<string>, chars array<int>"
-
-
-def group_lines(items: pd.DataFrame) -> pd.DataFrame:
-    """Items of one page to lines.
+def numbered(items: DataFrame) -> DataFrame:
+    """The items with ``line`` and ``place`` (their order on the page), and ``top``.
 
     From the top, an item belongs to the line whose first item is less than half the
-    greater of the two heights away; within a line, from left to right.
+    greater of the two heights away. That is a fold over a page's items in order, of
+    which only heights and places are held.
     """
-    items = items.assign(top=items["page_height"] - items["y"]).sort_values(["top", "x"], kind="stable")
-    number, anchor, height, numbers = -1, 0.0, 0.0, []
-    for top, h in zip(items["top"], items["height"], strict=True):
-        if number < 0 or abs(top - anchor) >= 0.5 * max(h, height):
-            number, anchor, height = number + 1, top, h
-        numbers.append(number)
-    out = []
-    for k, line in items.assign(line=numbers).groupby("line", sort=True):
-        first = line.iloc[0]
-        line = line.sort_values("x", kind="stable")
-        out.append((first["doc"], first["page"], k, first["top"], line["height"].mean(), first["page_height"], " ".join(line["str"]).strip(), list(line["font"]), [len(s) for s in line["str"]]))
-    return pd.DataFrame(out, columns=["doc", "page", "line", "y", "height", "page_height", "text", "fonts", "chars"])
+    top = F.col("page_height") - F.col("y")
+    fields = [c for c in items.columns if c not in ("doc", "page")]
+    rest = F.struct(*(F.col(c) for c in fields))
+    pages = items.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct(top.alias("top"), F.col("x").cast("double").alias("at"), rest.alias("item")))).alias("items"))
+    start = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("anchor"), F.lit(0.0).alias("height"), F.array().cast("array<int>").alias("lines"))
+
+    def step(s: Column, x: Column) -> Column:
+        h = x["item"]["height"].cast("double")
+        new = (s["n"] < 0) | (F.abs(x["top"] - s["anchor"]) >= F.greatest(h, s["height"]) * 0.5)
+        n = F.when(new, s["n"] + 1).otherwise(s["n"])
+        return F.struct(n.alias("n"), F.when(new, x["top"].cast("double")).otherwise(s["anchor"]).alias("anchor"), F.when(new, h).otherwise(s["height"]).alias("height"), F.array_append(s["lines"], n).alias("lines"))
+
+    lines_ = F.aggregate("items", start, step, lambda s: s["lines"])
+    rows = pages.select("doc", "page", F.posexplode(F.arrays_zip(F.col("items").alias("i"), lines_.alias("l"))).alias("place", "z"))
+    return rows.select("doc", "page", F.col("z.l").alias("line"), "place", F.col("z.i.top").alias("top"), "z.i.item.*")
 
 
 def lines(items: DataFrame) -> DataFrame:
     """doc, page, line, y (from the top), height, text... from doc, page, page_height, str, x, y, height, font."""
-    return items.groupBy("doc", "page").applyInPandas(group_lines, LINES)
+    across = F.array_sort(F.collect_list(F.struct("x", "place", "str", "font")))
+    out = numbered(items).groupBy("doc", "page", "line").agg(F.min_by("top", "place").alias("y"), F.avg("height").alias("height"), F.min_by("page_height", "place").alias("page_height"), across.alias("r"))
+    part = lambda f: F.transform("r", f)
+    text = F.trim(F.array_join(part(lambda x: x["str"]), " "))
+    return out.select("doc", "page", "line", "y", "height", "page_height", text.alias("text"), part(lambda x: x["font"]).alias("fonts"), part(lambda x: F.length(x["str"])).alias("chars"))
 
 
 def classify_lines(lines_: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -104,54 +108,72 @@ def paragraphs(classified: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 
 def merge_pages(paragraphs_: DataFrame) -> DataFrame:
-    """Paragraphs that run on to the next page joined; a page may pass on what it has got."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages = [list(p.itertuples(index=False)) for _, p in pdf.sort_values(["page", "paragraph"]).groupby("page", sort=True)]
-        rows = [[[r.doc, r.page, r.text, r.heading] for r in p] for p in pages]
-        for a, b in zip(rows, rows[1:], strict=False):
-            if not a or not b or a[-1][3] or b[0][3]:
-                continue
-            if a[-1][2] and b[0][2] and not re.search(r'[.!?:;"”]\Z', a[-1][2]) and re.match(r"[a-z]", b[0][2]):
-                a[-1][2] += " " + b.pop(0)[2]
-        return pd.DataFrame([(d, p, k, t, h) for page in rows for k, (d, p, t, h) in enumerate(page)], columns=["doc", "page", "paragraph", "text", "heading"])
+    """Paragraphs that run on to the next page joined.
 
-    return paragraphs_.groupBy("doc").applyInPandas(merge, "doc string, page int, paragraph int, text string, heading boolean")
-
-
-WORDS = "doc string, page int, line int, word int, text string, bold boolean, italic boolean, x double, width double"
+    A page's first paragraph goes to the last one of the page before, if neither is a
+    heading, the one before has no closing mark and this one begins in lower case. A page
+    whose only paragraph has gone has nothing to add to, so that in a row of such pages
+    every other one goes: a count within the row, and no page waits for another.
+    """
+    both = F.struct("text", "heading")
+    pages = paragraphs_.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"), F.min_by(both, "paragraph").alias("head"), F.max_by(both, "paragraph").alias("tail"), F.max("paragraph").alias("last"))
+    order = Window.partitionBy("doc").orderBy("page")
+    before = F.lag("tail").over(order)
+    runs_on = ~before["heading"] & ~F.col("head.heading") & (F.col("head.text") != "") & (before["text"] != "") & ~before["text"].rlike(r'[.!?:;"”]\z') & F.col("head.text").rlike("^[a-z]")
+    pages = pages.withColumn("may", F.coalesce(runs_on, F.lit(False)))
+    pages = pages.withColumn("link", F.col("may") & F.coalesce(F.lag("may").over(order) & (F.lag("n").over(order) == 1), F.lit(False)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    pages = pages.withColumn("row", F.sum((F.col("may") & ~F.col("link")).cast("int")).over(upto))
+    place = F.sum(F.col("link").cast("int")).over(Window.partitionBy("doc", "row").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    pages = pages.withColumn("goes", F.col("may") & (place % 2 == 0))
+    pages = pages.withColumn("more", F.when(F.lead("goes").over(order), F.lead("head").over(order)["text"])).select("doc", "page", "goes", "more", "last")
+    out = paragraphs_.join(pages, ["doc", "page"]).filter(~(F.col("goes") & (F.col("paragraph") == 0)))
+    text = F.when((F.col("paragraph") == F.col("last")) & F.col("more").isNotNull(), F.concat_ws(" ", "text", "more")).otherwise(F.col("text"))
+    return out.select("doc", "page", (F.col("paragraph") - F.col("goes").cast("int")).alias("paragraph"), text.alias("text"), "heading")
 
 
 def styled_words(items: DataFrame) -> DataFrame:
-    """Words of each line with style and place.
+    """doc, page, line, word, text, bold, italic, x, width: words of each line with style and place.
 
-    A word is bold or italic if more than half of its characters are; its place is
-    interpolated in the item where it begins.
+    A word lies in one item, as items are apart by a space, so that all its characters
+    have the item's style; its place is interpolated in the item.
     """
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        grouped = pdf.assign(top=pdf["page_height"] - pdf["y"]).sort_values(["top", "x"], kind="stable")
-        number, anchor, height, numbers = -1, 0.0, 0.0, []
-        for top, h in zip(grouped["top"], grouped["height"], strict=True):
-            if number < 0 or abs(top - anchor) >= 0.5 * max(h, height):
-                number, anchor, height = number + 1, top, h
-            numbers.append(number)
-        out = []
-        for k, line in grouped.assign(line=numbers).groupby("line", sort=True):
-            chars = []
-            for i, it in enumerate(line.sort_values("x", kind="stable").itertuples(index=False)):
-                if i:
-                    chars.append((" ", False, False, None, 0.0))
-                step = it.width / max(1, len(it.str))
-                bold, italic = bool(re.search("bold|black|heavy|demi", it.font or "", re.I)), bool(re.search("italic|oblique", it.font or "", re.I))
-                chars += [(c, bold, italic, it.x + j * step, step) for j, c in enumerate(it.str)]
-            for n, m in enumerate(re.finditer(r"\S+", "".join(c[0] for c in chars))):
-                of = chars[m.start() : m.end()]
-                half = len(of) / 2
-                out.append((line["doc"].iloc[0], line["page"].iloc[0], k, n, m[0], sum(c[1] for c in of) > half, sum(c[2] for c in of) > half, of[0][3], of[0][4] * len(of)))
-        return pd.DataFrame(out, columns=["doc", "page", "line", "word", "text", "bold", "italic", "x", "width"])
-
-    return items.groupBy("doc", "page").applyInPandas(cut, WORDS)
+    # runs of white and of other characters, with the offset of each
+    runs = F.split("str", r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+    sizes = F.transform("runs", lambda r: F.length(r))
+    offset = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b)
+    found = F.filter(F.transform("runs", lambda r, i: F.struct(r.alias("text"), offset(i).alias("at"))), lambda r: r["text"].rlike(r"\S"))
+    rows = numbered(items).withColumn("runs", runs).withColumn("sizes", sizes).withColumn("w", F.explode(found))
+    font, step = F.coalesce("font", F.lit("")), F.col("width") / F.greatest(F.lit(1), F.length("str"))
+    word = F.row_number().over(Window.partitionBy("doc", "page", "line").orderBy("x", "place", "w.at")) - 1
+    return rows.select(
+        "doc", "page", "line", word.alias("word"), F.col("w.text").alias("text"), font.rlike("(?i)bold|black|heavy|demi").alias("bold"), font.rlike("(?i)italic|oblique").alias("italic"),
+        (F.col("x") + F.col("w.at") * step).alias("x"), (step * F.length("w.text")).alias("width"),
+    )
+
+
+def text_pages(classified: DataFrame, key: str = "doc_id", n: str = "n") -> DataFrame:
+    """key, header, level, paragraphs, lists, figures, footnotes: a page of a text whose lines have a ``kind``.
+
+    Body lines make paragraphs of one kind; a blank line ends one, a line of another kind
+    too, and a subheading stands alone. Headers are joined, the least level counts.
+    """
+    order = Window.partitionBy(key).orderBy(n)
+    apart = F.col("kind").isin("junk", "header", "figure", "list", "footnote")
+    body = classified.filter(~apart)
+    new = (F.col("kind") != F.lag("kind", 1, "blank").over(order)) | (F.col("kind") == "subheading")
+    body = body.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("kind <> 'blank'")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), c.alias("c")))), lambda x: x["c"])
+    joined = body.groupBy(key, "run", "kind").agg(tx.dehyphenate(in_order(tx.trim(F.col("line")))).alias("text"))
+    blocks = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("paragraphs"))
+    t = tx.trim(F.col("line"))
+    of = lambda kind, c: in_order(F.when(F.col("kind") == kind, c))
+    some = lambda kind, c: F.filter(of(kind, c), lambda x: x.isNotNull())
+    rest = classified.groupBy(key).agg(
+        F.nullif(F.array_join(some("header", t), " | "), F.lit("")).alias("header"), F.min(F.when(F.col("kind") == "header", tx.header_level(t))).alias("level"),
+        some("list", tx.list_item(F.col("line"))).alias("lists"), some("figure", tx.caption(t)).alias("figures"), some("footnote", tx.footnote(t)).alias("footnotes"),
+    )
+    return rest.join(blocks, key, "left")
 
 
 LEAVES = "doc string, ord int, chapter int, chapter_title string, title string, page int"

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import python_text as py
 from ..functions import text as tx
+from ..operators import structure as st
 from ..sources.tables import read
 from .registry import query
 
@@ -167,13 +169,66 @@ def content_hash(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("select conv_id, turn, role from conversations where turn >= 2 and conv_id % 3 = 0 order by turn, conv_id")
+@query("select conv_id, turn, role from conversations where turn >= 2 order by turn, conv_id")
 def log_tail(spark, sf_dir):
     """Everything since a point, inclusive, in ascending order."""
-    return read(spark, sf_dir, "conversations").filter("turn >= 2 and conv_id % 3 = 0").orderBy("turn", "conv_id").select("conv_id", "turn", "role")
+    return read(spark, sf_dir, "conversations").filter("turn >= 2").orderBy("turn", "conv_id").select("conv_id", "turn", "role")
 
 
 @query()
 def log_tail_all(spark, sf_dir):
-    """As ``log_tail``, over all conversations."""
-    return read(spark, sf_dir, "conversations").filter("turn >= 2").orderBy("turn", "conv_id").select("conv_id", "turn", "role")
+    """As ``log_tail``; its test is a brute force and not SQL."""
+    return log_tail(spark, sf_dir)
+
+
+_MARKS = r"""coalesce(case when regexp_matches(line, '^\s*[•‣◦⁃∙•·-]\s+') then trim(regexp_extract(line, '^\s*[•‣◦⁃∙•·-]\s+')) when regexp_matches(line, '^\s*\d+[.)\]]\s+') then trim(regexp_extract(line, '^\s*\d+[.)\]]\s+'))
+  when regexp_matches(line, '(?i)^\s*\([a-z\d]+\)\s+') then trim(regexp_extract(line, '(?i)^\s*\([a-z\d]+\)\s+')) when regexp_matches(line, '^\s*[a-z][.)\]]\s+') then trim(regexp_extract(line, '^\s*[a-z][.)\]]\s+')) end, '~')"""
+_FORMS = ("  - {}", "12. {}", "(iv) {}", "    b) {}", "Figure 3.1: {}", "TABLE 12 {}", "* {}", "(3) {}", "{}")
+_FORMS_SQL = "[" + ", ".join(f"'{x.split('{}')[0]}'" for x in _FORMS) + "]"
+
+
+@query(f"""with l as (select conv_id, turn, {_FORMS_SQL}[(conv_id + turn) % {len(_FORMS)} + 1] || text as line from conversations)
+select conv_id, turn, {_MARKS} as marker,
+  case when {_MARKS} <> '~' then cast(floor(length(regexp_extract(line, '^\\s*')) / 2) as int) else -1 end as depth,
+  coalesce(nullif(regexp_extract(line, '^((?i)(?:figure|fig\\.|table|diagram|chart)\\s+\\d+(?:\\.\\d+)?)', 1), ''), '~') as label,
+  coalesce(nullif(regexp_extract(line, '^(\\d+|[*†‡§¶]|\\(\\d+\\))\\s+\\S', 1), ''), '~') as note from l""")
+def line_marks(spark, sf_dir):
+    """Turns written as list items, captions and footnotes: marker, depth, label and note sign."""
+    c = read(spark, sf_dir, "conversations")
+    form = F.element_at(F.array(*(F.lit(x.split("{}")[0]) for x in _FORMS)), ((F.col("conv_id") + F.col("turn")) % len(_FORMS) + 1).cast("int"))
+    line = F.concat(form, "text")
+    x = c.select("conv_id", "turn", tx.list_item(line).alias("i"), tx.caption(line).alias("c"), tx.footnote(line).alias("f"))
+    dash = lambda col: F.coalesce(col, F.lit("~"))
+    return x.select("conv_id", "turn", dash(F.col("i.marker")).alias("marker"), F.coalesce("i.depth", F.lit(-1)).alias("depth"), dash(F.col("c.label")).alias("label"), dash(F.col("f.marker")).alias("note"))
+
+
+@query(f"""with {LINES_SQL}, b as (select *, case when kind <> coalesce(lag(kind) over (partition by doc_id order by n), 'blank') or kind = 'subheading' then 1 else 0 end as fresh from k where kind not in ('junk', 'header', 'figure', 'list', 'footnote')),
+r as (select *, sum(fresh) over (partition by doc_id order by n rows unbounded preceding) as run from b),
+p as (select doc_id, run, kind, replace(replace(string_agg(t, chr(10) order by n), '-' || chr(10), ''), chr(10), ' ') as text from r where kind <> 'blank' group by 1, 2, 3),
+q as (select doc_id, count(*) as paragraphs, md5(string_agg(kind || ':' || text, chr(10) order by run)) as digest from p group by 1),
+o as (select doc_id, coalesce(string_agg(t, ' | ' order by n) filter (where kind = 'header'), '-') as header, count(*) filter (where kind = 'list') as lists, count(*) filter (where kind = 'figure') as figures, count(*) filter (where kind = 'footnote') as footnotes from k group by 1)
+select o.doc_id, header, coalesce(paragraphs, 0) as paragraphs, coalesce(digest, '-') as digest, lists, figures, footnotes from o left join q on q.doc_id = o.doc_id""")
+def text_pages(spark, sf_dir):
+    """Every document as one page: header, paragraphs, lists, figures and notes."""
+    x = st.text_pages(_lines(spark, sf_dir))
+    text = F.array_join(F.transform("paragraphs", lambda b: F.concat(b["kind"], F.lit(":"), b["text"])), "\n")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
+    count = F.when(F.col("paragraphs").isNull(), 0).otherwise(F.size("paragraphs")).cast("long").alias("paragraphs")
+    return x.select("doc_id", F.coalesce("header", F.lit("-")).alias("header"), count, F.coalesce(F.md5(text), F.lit("-")).alias("digest"), n("lists"), n("figures"), n("footnotes"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') || ',' || event_id as items from events where json_extract_string(props, '$.k') is not null")
+def first_json_array(spark, sf_dir):
+    """The numbers of an array with words around it."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k")).filter("k is not null")
+    answer = F.concat(F.lit("Sure: the list is\n["), "k", F.lit(", "), F.col("event_id").cast("string"), F.lit("] - anything else?"))
+    numbers = F.from_json(tx.first_json(answer, "array"), "array<bigint>")
+    return e.select("event_id", F.array_join(F.transform(numbers, lambda x: x.cast("string")), ",").alias("items"))
+
+
+@query("select page_id, replace(replace(replace(replace(url, '&', '&'), '?', '?'), '%', '%'), '=', '=') || ' <€> é' as plain from pages")
+def decoded_entities(spark, sf_dir):
+    """Named references, numeric ones in decimal and in hexadecimal; the ampersand last."""
+    p = read(spark, sf_dir, "pages")
+    coded = F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("&nbsp;&lt;&#8364;&gt;&#32;&#xe9;"))
+    return p.select("page_id", py.decode_entities(coded).alias("plain"))

@@ -25,4 +25,4 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
     return add
 
 
-from . import documents, intervals, models, relational, scalars, state, structure, sync, usage  # noqa: E402, F401
+from . import archives, documents, intervals, models, relational, scalars, state, structure, sync, usage  # noqa: E402, F401
