@@ -63,12 +63,16 @@ def split_valid(df: DataFrame, rule: Column, key: str = "id") -> tuple[DataFrame
 
 
 def capped(df: DataFrame, caps: dict[str, int], kind: str = "kind") -> DataFrame:
-    """The rows, or an error if a kind has more than its cap: the whole payload fails."""
-    n = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
-    cap = reduce(lambda c, x: c.when(F.col(kind) == x[0], x[1]), list(caps.items())[1:], F.when(F.col(kind) == next(iter(caps)), caps[next(iter(caps))]))
-    over = n.filter(F.col("n") > cap).agg(F.concat_ws(", ", F.sort_array(F.collect_list(F.concat(F.col(kind), F.lit(": "), F.col("n").cast("string"))))).alias("over"))
-    checked = over.select(F.when(F.col("over") != "", F.raise_error(F.concat(F.lit("payload too large: "), F.col("over")))).alias("error"))
-    return df.join(checked).filter("error is null").drop("error")
+    """The rows, or an error if a kind has more than its cap: the whole payload fails.
+
+    Each row meets the count of its kind, one row a kind, by an equi join.
+    """
+    n = df.groupBy(kind).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(kind, "__kind")
+    cap = F.try_element_at(F.create_map(*(F.lit(x) for item in caps.items() for x in item)), F.col("__kind"))
+    n = n.filter(F.col("__kind").isNotNull()).withColumn("__over", F.col("__n") > cap)
+    told = F.raise_error(F.concat(F.lit("payload too large: "), F.col("__kind"), F.lit(": "), F.col("__n").cast("string")))
+    met = df.join(n, F.col(kind) == F.col("__kind"), "left")
+    return met.filter(F.when(F.col("__over"), told).isNull()).drop("__kind", "__n", "__over")
 
 
 def visible_to(children: DataFrame, books: DataFrame, user_id: object, key: str = "book_id") -> DataFrame:
@@ -126,6 +130,15 @@ def capped_list(df: DataFrame, limit: int = LIST_LIMIT, key: str = "id") -> Data
     return df.orderBy(key).limit(limit)
 
 
+def cap_warning(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """One row: how many rows a list gives, and whether it reached its cap (the reader may miss some).
+
+    Reads no more than ``limit`` rows.
+    """
+    n = df.limit(limit).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("n", (F.col("n") >= limit).alias("at_cap"))
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__n", n).filter("__n = 1").drop("__n")

@@ -203,3 +203,23 @@ def known_intersection(spark, sf_dir):
 @query("select p_brand, array_to_string(list_sort(list(distinct p_type)), ',') as types, min(p_size) as least, max(p_size) as most from part group by 1")
 def distinct_and_extremes(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("types"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
+
+
+@query("select c_custkey as id, c_name, c_nationkey from customer")
+def allowed_fields(spark, sf_dir):
+    """An allow list in its own order, with a name that is not there, after a deny list."""
+    c = read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    return rel.allow(rel.deny(c, ["c_acctbal", "c_address"]), ["id", "c_name", "c_acctbal", "nothing", "c_nationkey"])
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def payload_caps(spark, sf_dir):
+    """A payload whose kinds are all within their caps passes whole."""
+    e = read(spark, sf_dir, "events")
+    kept = rel.capped(e.select("event_type", "event_id"), {"click": 1 << 40, "view": 1 << 40, "error": 1 << 40}, "event_type")
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{B} select least(count(*), 5000) as n, count(*) >= 5000 as at_cap from books")
+def cap_warning(spark, sf_dir):
+    return rel.cap_warning(books(spark, sf_dir))

@@ -1,0 +1,234 @@
+"""Operators at their edges: hot keys, leases, page merging, stores and streams."""
+
+import random
+import re
+from collections import deque
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import models as mf
+from tessera.functions import python_text as py
+from tessera.functions import text as tx
+from tessera.operators import intervals, relational, state, structure
+from tessera.sources import epub, files
+from tessera.streaming import streams
+
+NOW = datetime(2024, 5, 1, 12, 0, 0)
+WORDS = "id long, created_at timestamp_ntz, deleted_at timestamp_ntz, forwarded_at timestamp_ntz, next_attempt_at timestamp_ntz, attempts int, last_error string"
+
+
+def at(d):
+    return F.lit(d).cast("timestamp_ntz")
+
+
+def brute_limit(calls, most, window):
+    log, out = deque(), {}
+    for t, o in sorted(calls):
+        while log and t - log[0] >= window:
+            log.popleft()
+        ok = len(log) < most
+        out[o] = (ok, 0 if ok else max(1, -((t - log[0] - window) // 1000)))
+        if ok:
+            log.append(t)
+    return out
+
+
+def test_rate_limit_of_a_hot_key(spark):
+    """A third of all calls are one key's, in 10^5 rows; null keys count as one."""
+    rng = random.Random(2)
+    rows = [(1 if rng.random() < 0.8 else rng.choice([None, *range(2, 40)]), rng.randrange(0, 40_000_000), i) for i in range(120_000)]
+    df = spark.createDataFrame(rows, "k long, ms long, o long").select("k", F.timestamp_millis("ms").alias("ts"), "o")
+    got = {r["o"]: (r["accepted"], r["retry_after"]) for r in state.rate_limit(df, "k", "ts", "o", 3, 5000).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        want |= brute_limit([(t, o) for x, t, o in rows if x == k], 3, 5000)
+    assert got == want
+
+
+def test_overlaps_of_a_hot_key(spark):
+    """10^5 ranges of one key: pairs far apart are never met."""
+    n = 100_000
+    old = spark.range(n).select(F.lit(1).alias("b"), F.col("id").alias("no"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 12).alias("e"))
+    new = spark.range(n).select(F.lit(1).alias("b"), F.col("id").alias("o"), (F.col("id") * 10 + 5).alias("x"), (F.col("id") * 10 + 6).alias("y"))
+    got = intervals.overlaps(old, new, "b", ("s", "e"), ("x", "y"))
+    assert got.count() == n
+    assert got.filter("no <> o or `from` <> x or `to` <> y").count() == 0
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(5)
+    ranges = lambda n: [(rng.randrange(3), i, a := rng.randint(-70, 200), a + rng.choice([-1, 0, 3, 50, 130])) for i in range(n)]
+    old, new = ranges(60), ranges(60)
+    got = intervals.overlaps(spark.createDataFrame(old, "k int, i int, a int, b int"), spark.createDataFrame(new, "k int, j int, c int, d int"), "k", ("a", "b"), ("c", "d"))
+    want = sorted((i, j, max(a, c), min(b, d)) for k, i, a, b in old for m, j, c, d in new if k == m and a <= b and c <= d and a <= d and c <= b)
+    assert sorted((r["i"], r["j"], r["from"], r["to"]) for r in got.collect()) == want
+
+
+def test_capped_of_many_rows(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") == 0, None).otherwise("cold").alias("kind"), "id")
+    plan = relational.capped(df, {"hot": 90_000, "cold": 9_999})
+    assert plan.count() == 100_000
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="payload too large: hot: 90000"):
+        relational.capped(df, {"hot": 89_999}).count()
+
+
+def test_cap_warning(spark):
+    assert tuple(relational.cap_warning(spark.range(7), 5).first()) == (5, True)
+    assert tuple(relational.cap_warning(spark.range(4), 5).first()) == (4, False)
+
+
+def words(spark, n):
+    rows = [(i, NOW - timedelta(hours=100 - i), None, None, None, 0, None) for i in range(n)]
+    return spark.createDataFrame(rows, WORDS)
+
+
+def test_two_workers_claim_different_rows(spark):
+    first = state.claim(words(spark, 5), at(NOW), 2)
+    one = {r["id"] for r in first.filter("claimed").collect()}
+    second = state.claim(first.drop("claimed"), at(NOW + timedelta(seconds=1)), 2)
+    two = {r["id"] for r in second.filter("claimed").collect()}
+    assert one == {0, 1} and two == {2, 3}
+    # a lease runs out after 150 s, and then the row is due again
+    late = state.claim(second.drop("claimed"), at(NOW + timedelta(seconds=150)), 9)
+    assert {r["id"] for r in late.filter("claimed").collect()} == {0, 1, 4}
+
+
+def test_settled_claims(spark):
+    done = spark.createDataFrame([(0, None), (1, "x" * 600)], "id long, error string")
+    out = {r["id"]: r for r in state.settle(state.claim(words(spark, 3), at(NOW), 2).drop("claimed"), done, at(NOW)).collect()}
+    assert (out[0]["forwarded_at"], out[0]["next_attempt_at"], out[0]["attempts"]) == (NOW, None, 0)
+    assert (out[1]["forwarded_at"], out[1]["next_attempt_at"], out[1]["attempts"], len(out[1]["last_error"])) == (None, NOW + timedelta(seconds=30), 1, 500)
+    assert out[2]["next_attempt_at"] is None
+
+
+def brute_merge(pages):
+    """Page by page, as one would with a pencil: [[(text, heading)]]."""
+    rows = [[list(x) for x in p] for p in pages]
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a and b and not a[-1][1] and not b[0][1] and a[-1][0] and b[0][0] and not re.search(r'[.!?:;"”]\Z', a[-1][0]) and re.match("[a-z]", b[0][0]):
+            a[-1][0] += " " + b.pop(0)[0]
+    return [[tuple(x) for x in p] for p in rows]
+
+
+def test_pages_merge(spark):
+    rng = random.Random(8)
+    piece = lambda: (rng.choice(["a b", "c d", "e.", "F g", "h:", ""]), rng.random() < 0.1)
+    docs = [[[piece() for _ in range(rng.choice([1, 1, 1, 2, 3]))] for _ in range(12)] for _ in range(40)]
+    rows = [(str(d), p, k, t, h) for d, pages in enumerate(docs) for p, page in enumerate(pages) for k, (t, h) in enumerate(page)]
+    got = structure.merge_pages(spark.createDataFrame(rows, "doc string, page int, paragraph int, text string, heading boolean"))
+    want = sorted((str(d), p, k, t, h) for d, pages in enumerate(docs) for p, page in enumerate(brute_merge(pages)) for k, (t, h) in enumerate(page))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_lines_of_items(spark):
+    """Small raised items stay on their line; an item as high as half a line below does not."""
+    rows = [("d", 1, 100.0, "b", 20.0, 89.0, 10.0, "S"), ("d", 1, 100.0, "a", 10.0, 90.0, 10.0, "S"), ("d", 1, 100.0, "2", 30.0, 93.0, 5.0, "S"), ("d", 1, 100.0, "c", 0.0, 80.0, 10.0, "T")]
+    df = spark.createDataFrame(rows, "doc string, page int, page_height double, str string, x double, y double, height double, font string")
+    got = structure.lines(df).orderBy("line").collect()
+    assert [(r["line"], r["text"], r["y"]) for r in got] == [(0, "a b 2", 7.0), (1, "c", 20.0)]
+
+
+def test_words_of_items(spark):
+    rows = [("d", 1, 100.0, " two  words", 10.0, 90.0, 10.0, "Black", 110.0), ("d", 1, 100.0, "x", 200.0, 90.0, 10.0, None, 8.0), ("d", 1, 100.0, " ", 300.0, 90.0, 10.0, "S", 8.0)]
+    df = spark.createDataFrame(rows, "doc string, page int, page_height double, str string, x double, y double, height double, font string, width double")
+    got = structure.styled_words(df).orderBy("word").collect()
+    assert [(r["word"], r["text"], r["bold"], r["x"], r["width"]) for r in got] == [(0, "two", True, 20.0, 30.0), (1, "words", True, 70.0, 50.0), (2, "x", False, 200.0, 8.0)]
+
+
+def test_text_page(spark):
+    lines = ["first", "of all", "", "CHAPTER 1 START", "A Title Here", "body one-", "two", "- item", "Figure 2: View", "1 note"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc_id int, n int, line string")
+    kind = tx.line_kind(F.col("line"), F.col("n") > 3)
+    r = structure.text_pages(df.withColumn("kind", kind)).collect()[0]
+    assert (r["header"], r["level"]) == ("CHAPTER 1 START", 1)
+    assert [tuple(x) for x in r["paragraphs"]] == [("introduction", "first of all"), ("subheading", "A Title Here"), ("body", "body onetwo")]
+    assert [x["text"] for x in r["lists"]] == ["item"] and [x["label"] for x in r["figures"]] == ["Figure 2"] and [x["marker"] for x in r["footnotes"]] == ["1"]
+
+
+def test_structure_replace_claims_once(spark):
+    schema = "book int, ord int, start_page int, end_page int, is_read boolean, read_at timestamp_ntz, text string, deleted_at timestamp_ntz"
+    old = spark.createDataFrame([(1, 1, 1, 5, True, NOW, "one", None), (1, 2, 6, 9, False, None, "two", None), (1, 3, 1, 5, True, NOW, "gone", NOW)], schema)
+    new = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 1, 5), (1, 3, 6, 9)], "book int, ord int, start int, end int")
+    later = NOW + timedelta(days=1)
+    out = intervals.replace_structure(old, new, "book", at(later)).collect()
+    assert sorted((r["ord"], r["text"], r["is_read"], r["deleted_at"]) for r in out if not r["is_new"]) == [(1, "one", True, later), (2, "two", False, later), (3, "gone", True, NOW)]
+    assert sorted((r["ord"], r["text"] or "", r["is_read"]) for r in out if r["is_new"]) == [(1, "one", True), (2, "", True), (3, "two", False)]
+    assert all(r["deleted_at"] is None for r in out if r["is_new"])
+
+
+def test_signature_pages_as_a_column(spark):
+    text = "one " * 30 + "two " * 30
+    df = spark.createDataFrame([(text, ["one one", "two two"]), (None, ["a"]), ("abc", None)], "t string, s array<string>")
+    got = [r[0] for r in df.select(py.split_by_signatures("t", "s")).collect()]
+    assert got == [[("one " * 30).strip(), ("two " * 30).strip()], None, []]
+
+
+def test_headers_and_names(spark):
+    df = spark.createDataFrame([('a"b\\c/d\x07',), ("x" * 99 + "😀😀",), ("  ",), ("l'été (1)*",)], "t string")
+    names = [r[0] for r in df.select(tx.safe_name(F.col("t"))).collect()]
+    assert names == ["abc_d", "x" * 99 + "😀", "download", "l'été (1)_"]
+    header = df.select(tx.content_disposition(F.col("t"), "epub")).collect()[3][0]
+    assert header == "attachment; filename=\"l't (1)_.epub\"; filename*=UTF-8''l%27%C3%A9t%C3%A9%20%281%29_.epub".replace("l't", "l'_t_")
+
+
+def test_json_of_both_shapes(spark):
+    df = spark.createDataFrame([("so [1, {\"a\": 2}] ok",), ("none",)], "t string")
+    assert [tuple(r) for r in df.select(tx.first_json(F.col("t"), "array"), tx.first_json(F.col("t"))).collect()] == [('[1, {"a": 2}]', '{"a": 2}'), (None, None)]
+
+
+def test_images_by_provider(spark):
+    rows = [("openai", "o1-mini", None), ("openai", "o1", None), ("anthropic", "claude-3-x", None), ("anthropic", "claude-2", None), ("xai", "grok-4", None), ("other", "llava-7b", None), ("other", "plain", None), ("other", "plain", True)]
+    df = spark.createDataFrame(rows, "p string, m string, listed boolean")
+    assert [r[0] for r in df.select(mf.supports_images(F.col("p"), F.col("m"), F.col("listed"))).collect()] == [False, True, True, False, True, True, False, True]
+
+
+def test_store(spark, tmp_path):
+    url = f"file://{tmp_path}/a/b.bin"
+    assert not files.exists(spark, url)
+    files.put(spark, url, b"%PDF-1.4 x")
+    files.put(spark, url, b"%PDF-1.7 \x00\xff")
+    assert files.exists(spark, url)
+    row = files.get(spark, url).withColumn("kind", epub.sniff(F.col("content"), F.col("path"))).first()
+    assert (row["length"], bytes(row["content"]), row["kind"]) == (11, b"%PDF-1.7 \x00\xff", "pdf")
+    assert files.delete(spark, url) and not files.exists(spark, url)
+
+
+def test_log_files(spark, tmp_path):
+    logs = spark.createDataFrame([(2, NOW + timedelta(seconds=1), "warn", "b", "late"), (1, NOW, "info", "a", "early")], "id int, ts timestamp_ntz, level string, stage string, message string")
+    files.write_log(logs.coalesce(1), str(tmp_path / "log"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["[2024-05-01 12:00:00] [INFO] [a] early", "[2024-05-01 12:00:01] [WARN] [b] late"]
+
+
+def _ticks(spark, tmp_path, times):
+    for k, t in enumerate(times):
+        spark.createDataFrame([(t,)], "now timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "ticks" / f"k={k}"))
+    return spark.readStream.schema("now timestamp_ntz, k int").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "ticks"))
+
+
+def test_outbox_sweep_folds_ticks(spark, tmp_path):
+    """Four ticks make two sweeps, each of one bounded batch; a sweep takes what the one before left."""
+    table, taken = [words(spark, 5)], []
+
+    def forward(batch, batch_id):
+        ids = [r["id"] for r in batch.collect()]
+        taken.append(ids)
+        done = spark.createDataFrame([(i, None) for i in ids], "id long, error string")
+        rows = state.settle(table[-1], done, at(NOW)).collect()
+        table.append(spark.createDataFrame(rows, WORDS))
+
+    ticks = _ticks(spark, tmp_path, [NOW + timedelta(seconds=k) for k in range(4)])
+    q = streams.outbox_sweep(ticks, lambda: table[-1], forward, 2).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert taken == [[0, 1], [2, 3]]
+
+
+def test_snapshot_is_read_anew(spark, tmp_path):
+    """A new price list replaces the old one, unless it is too small to be whole."""
+    lists, seen = [spark.range(60), spark.range(3), spark.range(80)], []
+    ticks = _ticks(spark, tmp_path, [NOW] * 6)
+    q = streams.with_snapshot(ticks, lambda: lists.pop(0), lambda batch, prices, batch_id: seen.append((batch.count(), prices.count()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == [(2, 60), (2, 60), (2, 80)]
