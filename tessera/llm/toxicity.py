@@ -3,8 +3,10 @@
 Terms are a text's distinct words (runs of letters, in lower case) and their
 first 4 and 5 letters, hashed to ``BUCKETS``. From a sample of at most
 ``max_rows`` labelled rows, the ``n_terms`` buckets with the strongest chi-square
-statistic are kept, counted over the whole sample. On them a second-order
-factorization machine learns
+statistic are kept, counted over the whole sample. Terms that tell nothing alone are
+kept for a partner: of the ``FREQUENT`` buckets in most texts, those that are strongly
+associated with the label within the rows that hold another term, as that term is
+within theirs (``partners``). On all of them a second-order factorization machine learns
 
     w0 + sum w_i x_i + sum_(i<j) <v_i, v_j> x_i x_j
 
@@ -40,6 +42,10 @@ N_TERMS = 4096
 LEAST_DOCS = 5
 #: of some ten thousand terms without a meaning, one or two pass
 LEAST_CHI = 15.0
+FREQUENT = 512
+PANEL = 256
+#: passed by chance by one in 10^9 pairs, of some 4 * 10^5
+LEAST_PAIR = 40.0
 FACTORS = 8
 BLOCK = 1 << 20
 
@@ -108,17 +114,55 @@ def _stats(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "bucket int, docs long, toxic long").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
 
 
-def _select(stats: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
-    """Rows, toxic rows, and the chosen buckets in order of strength."""
+def _select(stats: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Rows, toxic rows, the chosen buckets in order of strength, and frequent ones among the others."""
     stats = cut(stats)
     whole = stats.filter("bucket < 0").first()
     n, t = (whole["docs"], whole["toxic"]) if whole else (0, 0)
+    none = np.empty(0, np.int64)
     if not 0 < t < n:
-        return n, t, np.empty(0, np.int64)
+        return n, t, none, none
     d, x = F.col("docs").cast("double"), F.col("toxic").cast("double")
     chi = n * F.pow(x * n - d * t, 2) / (d * (n - d) * F.lit(float(t) * (n - t)))
-    best = stats.filter(f"bucket >= 0 and docs >= {LEAST_DOCS} and docs < {n}").withColumn("chi", chi).filter(f"chi > {LEAST_CHI}").orderBy(F.desc("chi"), "bucket").limit(n_terms)
-    return n, t, np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
+    some = stats.filter(f"bucket >= 0 and docs >= {LEAST_DOCS} and docs < {n}").withColumn("chi", chi)
+    best = some.orderBy(F.desc("chi"), "bucket").limit(n_terms).filter(f"chi > {LEAST_CHI}")
+    chosen = np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
+    often = some.orderBy(F.desc(F.least(F.col("docs"), F.lit(n) - F.col("docs"))), "bucket").limit(FREQUENT)
+    frequent = np.array([r["bucket"] for r in often.select("bucket").collect()], np.int64)
+    return n, t, chosen, frequent[~np.isin(frequent, chosen)]
+
+
+def _gain(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """G-squared of b against the label within the rows of a, at [a, b].
+
+    ``n`` and ``t`` count rows, and rows of label 1, that hold a and b; a and a on the diagonal.
+    """
+    rows, hits = np.diag(n)[:, None].astype(float), np.diag(t)[:, None].astype(float)
+    out = np.zeros(n.shape)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, of, share in ((t, n, hits), (n - t, n, rows - hits), (hits - t, rows - n, hits), (rows - hits - n + t, rows - n, rows - hits)):
+            out += np.where(seen > 0, seen * np.log(seen * rows / (of * share)), 0.0)
+    return 2 * out
+
+
+def partners(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_chosen: int, n_terms: int) -> np.ndarray:
+    """Terms from ``n_chosen`` on that matter beside another one, which matters beside them."""
+    panel = np.append(np.arange(min(PANEL, n_chosen)), np.arange(n_chosen, n_terms))
+    slot = np.full(n_terms, -1)
+    slot[panel] = np.arange(len(panel))
+    n, t = np.zeros((len(panel), len(panel))), np.zeros((len(panel), len(panel)))
+    for lo in range(0, len(y), 4096):
+        hi = min(len(y), lo + 4096)
+        row, at = np.repeat(np.arange(hi - lo), np.diff(indptr[lo : hi + 1])), slot[terms[indptr[lo] : indptr[hi]]]
+        x = np.zeros((hi - lo, len(panel)), np.float32)
+        x[row[at >= 0], at[at >= 0]] = 1
+        n += x.T @ x
+        x = x[y[lo:hi] > 0]
+        t += x.T @ x
+    gain = _gain(n, t)
+    strong = (np.minimum(gain, gain.T) >= LEAST_PAIR) & (n >= LEAST_DOCS)
+    found = panel[strong.any(axis=1)]
+    return found[found >= n_chosen]
 
 
 def train_fm(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, factors: int = FACTORS, steps: int = 2000, rate: float = 0.1, decay: float = 1e-5, batch: int = 256, seed: int = 7):
@@ -160,11 +204,13 @@ def train_fm(indptr: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int,
     return w0, w, v
 
 
-def _fit(sample: DataFrame, chosen: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Train in one task on the sample's chosen terms (``max_rows`` bounds it)."""
+def _fit(sample: DataFrame, chosen: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """The buckets used, and their weights, from one task on the sample's terms (``max_rows`` bounds it)."""
+    offered = np.append(chosen, frequent)
     slot = np.full(BUCKETS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
+    slot[offered] = np.arange(len(offered))
     shared = sample.sparkSession.sparkContext.broadcast(slot)
+    n_chosen = len(chosen)
 
     def rows(batches):
         terms = Terms()
@@ -184,21 +230,28 @@ def _fit(sample: DataFrame, chosen: np.ndarray) -> tuple[float, np.ndarray, np.n
         order = sorted(range(len(y)), key=lambda k: (y[k], lists[k].tobytes()))  # the order of arrival must not matter
         y, lists = y[order], [lists[k] for k in order]
         indptr = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
-        w0, w, v = train_fm(indptr, np.concatenate(lists).astype(np.int64), y, len(chosen))
-        return pa.table({"w0": [w0], "w": [w.tobytes()], "v": [v.tobytes()]})
+        flat = np.concatenate(lists).astype(np.int64)
+        used = np.append(np.arange(n_chosen), partners(indptr, flat, y, n_chosen, len(offered)))
+        place = np.full(len(offered), -1)
+        place[used] = np.arange(len(used))
+        keep = place[flat] >= 0
+        indptr = np.append(0, np.cumsum(keep))[indptr]
+        w0, w, v = train_fm(indptr, place[flat[keep]], y, len(used))
+        return pa.table({"used": [used.astype(np.int64).tobytes()], "w0": [w0], "w": [w.tobytes()], "v": [v.tobytes()]})
 
     packed = sample.mapInArrow(rows, "y int, terms binary")
-    model = packed.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "w0 double, w binary, v binary").first()
-    return model["w0"], np.frombuffer(model["w"]), np.frombuffer(model["v"]).reshape(len(chosen), FACTORS)
+    model = packed.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "used binary, w0 double, w binary, v binary").first()
+    used = offered[np.frombuffer(model["used"], np.int64)]
+    return used, model["w0"], np.frombuffer(model["w"]), np.frombuffer(model["v"]).reshape(len(used), FACTORS)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = MAX_ROWS, n_terms: int = N_TERMS) -> DataFrame:
     """id, held_out, score, predicted."""
     small_batches(docs)
     sample = _labelled(docs, labels, id_col, text, max_rows)
-    n, t, chosen = _select(_stats(sample), n_terms)
-    if len(chosen):
-        w0, w, v = _fit(sample, chosen)
+    n, t, chosen, frequent = _select(_stats(sample), n_terms)
+    if len(chosen) + len(frequent):
+        chosen, w0, w, v = _fit(sample, chosen, frequent)
     else:
         w0, w, v = float(np.log((t + 0.5) / (n - t + 0.5))), np.zeros(0), np.zeros((0, FACTORS))
     slot = np.zeros(BUCKETS, np.int32)
