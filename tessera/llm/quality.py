@@ -49,7 +49,8 @@ RULES = (
     Rule("repeats", "100 * n_repeat_words <= 25 * n_words", "100 * n_repeat_words > 30 * n_words"),
     Rule("line_repeats", "n_dup_lines = 0", "n_dup_lines >= 3 and 2 * n_dup_lines > n_lines"),
     Rule("capitals", "100 * n_upper <= 8 * word_chars", "100 * n_upper > 30 * word_chars"),
-    Rule("variety", "100 * n_distinct > 35 * n_words or n_words >= 1000", "100 * n_distinct < 20 * n_words and n_words < 500"),
+    # distinct words grow with the square root of the length, so the same bound holds for texts of all lengths
+    Rule("variety", "n_distinct * n_distinct > 9 * n_words", "n_distinct * n_distinct < 4 * n_words"),
     Rule("exclaims", "10 * n_exclaims <= n_words", "3 * n_exclaims > n_words"),
 )
 
