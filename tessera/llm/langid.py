@@ -27,6 +27,8 @@ BITS = 15
 BUCKETS = 1 << BITS
 SIZES = (2, 3)
 MAX_LANGS = 1000
+#: up to here a batch counts in one array of all its languages' buckets, beyond by sorting
+FEW_LANGS = 16
 SMOOTHING = 0.5
 BLOCK = 1 << 20
 
@@ -64,15 +66,19 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             langs, code = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            total = np.zeros((len(langs), BUCKETS), np.int64)
+            keys, counts = [], []
             for block in blocks(batch.column(1), BLOCK):
                 h, doc, _ = grams(block)
-                total += np.bincount(code[block.lo : block.hi][doc] * BUCKETS + h, minlength=total.size).reshape(total.shape)
-            which, bucket = np.nonzero(total)
-            n = total[which, bucket]
+                key = code[block.lo : block.hi][doc] * BUCKETS + h
+                n = np.bincount(key) if len(langs) <= FEW_LANGS else None
+                at, n = (np.flatnonzero(n), n[n > 0]) if n is not None else np.unique(key, return_counts=True)
+                keys.append(at)
+                counts.append(n)
+            at, place = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([np.empty(0, np.int64), *counts]), minlength=len(at)).astype(np.int64)
             docs = np.bincount(code, minlength=len(langs))
-            which, bucket, n = np.append(which, np.arange(len(langs))), np.append(bucket, np.full(len(langs), -1)), np.append(n, docs)
-            yield pa.record_batch([pa.array(langs[which].tolist(), pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+            which, bucket = np.append(at // BUCKETS, np.arange(len(langs))), np.append(at % BUCKETS, np.full(len(langs), -1))
+            yield pa.record_batch([pa.array(langs[which].tolist(), pa.string()), pa.array(bucket, pa.int32()), pa.array(np.append(n, docs), pa.int64())], ["lang", "bucket", "n"])
 
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
