@@ -21,7 +21,8 @@
 
 Cases: texts without a word (null, empty, blank) are classes of their own; texts
 of fewer than five words have one shingle of all their words; rows with one id are
-one document; rows with a null id are not in the result, and ``keep_one`` keeps them; an
+one document; rows with a null id are not in the result, and ``keep_one`` keeps them; ids
+are integers (other types are cast to bigint, what can't be cast is an error); an
 empty table gives an empty result. ``keep_one`` keeps all columns.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, small_batches
+from ._spark import cut, fresh, small_batches
 from ._text import Block, Roller, blocks, combine, mix, word_spans
 from .graph import components
 
@@ -326,5 +327,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` without the documents that are not the least of their class."""
-    lost = class_of(docs, id_col, text, least).filter("id <> class_id").select(F.col("id").alias("__lost"))
-    return docs.join(lost, F.col(f"`{id_col}`") == F.col("__lost"), "left_anti")
+    own = fresh(docs, "lost")
+    lost = class_of(docs, id_col, text, least).filter("id <> class_id").select(F.col("id").alias(own))
+    return docs.join(lost, F.col(f"`{id_col}`") == F.col(own), "left_anti")
