@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ._spark import small_batches
 
 WINDOW = 3
-SURGE_CHARS = 80
-SURGE_SHARE = 0.3
+SURGE_CHARS = 200
+SURGE_SHARE = 0.35
 REGION_SHARE = 0.2
 LINK_SHARE = 0.6
 
