@@ -184,18 +184,38 @@ def _sets(column, roller: Roller) -> Iterator[np.ndarray]:
         yield from (h[x:y] for x, y in zip(at[:-1], at[1:], strict=True))
 
 
+def _parts(n, size):
+    """Into how many blocks texts go, by number and bytes."""
+    return F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is ``least`` or more."""
+    """The pairs (a, b) whose similarity is ``least`` or more.
+
+    The partners of each b are dealt into blocks, and b goes before each block, so that the
+    text of a hub is sent once a block and not once a pair.
+    """
+    size = texts.select(F.col("id").alias("of"), F.octet_length("text").cast("long").alias("bytes"))
+    many = pairs.join(size, F.col("a") == F.col("of")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    many = cut(many.select("b", _parts(F.col("n"), F.col("bytes")).alias("parts")), narrow=True)
+    of_pairs = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), F.col("a").alias("id"))
+    heads = many.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("id"))
+    rows = of_pairs.unionByName(heads).join(texts.hint("merge"), "id").select("b", "part", "side", "id", "text")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "side")
 
     def run(batches):
-        roller = Roller(31)
+        roller, hub, shared = Roller(31), None, np.empty(0, np.uint64)
         for batch in batches:
-            ok = pa.array([probability_jaccard(x, y) >= least - 1e-12 for x, y in zip(_sets(batch.column(2), roller), _sets(batch.column(3), roller), strict=True)], pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            found = ([], [])
+            for b, part, side, i, own in zip(*(batch.column(k).to_pylist() for k in range(4)), _sets(batch.column(4), roller), strict=True):
+                if not side:
+                    hub, shared = (b, part), own
+                elif hub == (b, part) and probability_jaccard(own, shared) >= least - 1e-12:
+                    found[0].append(i)
+                    found[1].append(b)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    left = pairs.join(texts.toDF("ia", "ta").hint("merge"), F.col("a") == F.col("ia")).select("a", "b", "ta")
-    both = left.join(texts.toDF("ib", "tb").hint("merge"), F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def joined(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -252,9 +272,8 @@ def _rest(rest: DataFrame, labels: DataFrame, texts: DataFrame, least: float) ->
     top = F.max(F.struct("n", "bytes", "label")).alias("top")
     found = of_class.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     large = F.col("top.n") * 8 >= BLOCK_DOCS
-    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES)).cast("int")
-    few = parts(F.col("n") - F.when(large, F.col("top.n")).otherwise(0), F.col("bytes") - F.when(large, F.col("top.bytes")).otherwise(0))
-    many = F.when(large, parts(F.col("top.n"), F.col("top.bytes"))).otherwise(0)
+    few = _parts(F.col("n") - F.when(large, F.col("top.n")).otherwise(0), F.col("bytes") - F.when(large, F.col("top.bytes")).otherwise(0))
+    many = F.when(large, _parts(F.col("top.n"), F.col("top.bytes"))).otherwise(0)
     found = cut(found.select("key", F.when(large, F.col("top.label")).alias("main"), few.alias("few"), many.alias("many")), narrow=True)
     if found.isEmpty():
         return None
