@@ -8,8 +8,9 @@ their fingerprints: two fingerprints within ``RADIUS`` bits differ by at most
 free finds every fingerprint within the radius. Candidates are verified by the
 exact weighted Jaccard similarity of the shingles of window and item.
 
-A window that shares no shingle with an item has similarity 0 and cannot pass, so
-only windows around shared shingles get a fingerprint; this drops no match.
+A window that shares no shingle with any item has similarity 0, so every window that
+shares one gets a fingerprint and the others need none; this drops no match, and it is
+left to the fingerprints to find the candidates among them.
 
 The benchmark goes to the executors in parts of at most ``PART_ITEMS`` items and
 ``PART_CHARS`` characters; a larger benchmark takes more passes.
@@ -41,6 +42,8 @@ PART_ITEMS = 20_000
 PART_CHARS = 16 << 20
 SEED = 47
 GATE = 1 << 22
+#: windows that are fingerprinted at a time
+STRETCH = 4096
 
 
 class Words(NamedTuple):
@@ -91,19 +94,24 @@ class Index:
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
         near = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // 8
-        #: for each block and byte, the items whose byte is near
-        self.table = [[np.flatnonzero(near[byte][prints[:, b]]) for byte in range(256)] for b in range(8)]
+        #: for each block, the items whose byte is near, byte by byte, and where those of each byte start
+        self.near = []
+        for b in range(8):
+            byte, items = np.nonzero(near[:, prints[:, b]])
+            self.near.append((np.searchsorted(byte, np.arange(257)), items))
 
     def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, item) within the radius."""
-        qs, found = [], []
-        for q, row in enumerate(query):
-            some = np.unique(np.concatenate([self.table[b][row[b]] for b in range(8)]))
-            far = POPCOUNT[self.prints[some] ^ row].sum(axis=1)
-            some = some[far <= self.radius]
-            qs.append(np.full(len(some), q))
-            found.append(some)
-        return np.concatenate([np.empty(0, np.int64), *qs]), np.concatenate([np.empty(0, np.int64), *found])
+        """All (query, item) within the radius, in order of query."""
+        seen = np.empty(0, np.int64)
+        for b in range(8):
+            start, items = self.near[b]
+            n = start[query[:, b].astype(np.int64) + 1] - start[query[:, b]]
+            of = np.repeat(np.arange(len(query)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[query[:, b]], n)
+            seen = np.union1d(seen, of * len(self.prints) + items[at])
+        q, item = seen // max(1, len(self.prints)), seen % max(1, len(self.prints))
+        far = POPCOUNT[self.prints[item] ^ query[q]].sum(axis=1)
+        return q[far <= self.radius], item[far <= self.radius]
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -156,16 +164,16 @@ class Benchmark:
             start = np.zeros(len(h) - width + 2, np.int64)
             np.add.at(start, np.maximum(hits - width + 1, 0), 1)
             np.add.at(start, np.minimum(hits, len(h) - width) + 1, -1)
-            shared = np.cumsum(start[:-1])  # how many shared shingles each window has
-            windows = np.flatnonzero(shared >= self.least * width)
-            # a window with fewer shared shingles than that cannot reach the similarity
+            windows = np.flatnonzero(np.cumsum(start[:-1]) > 0)
             for run in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1) if len(windows) else []:
-                prints = fingerprints(h[run[0] : run[-1] + width], width)
-                for q, k in zip(*index.search(prints), strict=True):
-                    item = items[k]
-                    s = weighted_jaccard(h[run[q] : run[q] + width], self.shingles[item])
-                    if s >= self.least - 1e-12 and s > best.get(item, (0.0, 0))[0]:
-                        best[item] = (s, int(run[q]))
+                for lo in range(0, len(run), STRETCH):
+                    some = run[lo : lo + STRETCH]
+                    prints = fingerprints(h[some[0] : some[-1] + width], width)
+                    for q, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
+                        item, at = items[k], int(some[q])
+                        s = weighted_jaccard(h[at : at + width], self.shingles[item])
+                        if s >= self.least - 1e-12 and s > best.get(item, (0.0, 0))[0]:
+                            best[item] = (s, at)
         return best
 
     def matches(self, column):
