@@ -64,10 +64,12 @@ def features(docs: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> D
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(*keep, t.alias("__t"))
     base = base.select(*keep, "__t", F.filter(F.split("__t", f"[{ASCII_SPACE}]+"), lambda w: w != "").alias("__w"), F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{ASCII_SPACE}]")).alias("__l"))
-    base = base.withColumn(
-        "__h",
-        F.when(F.size("__w") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
-    )
+    # a window of eight words from two of four, those from two of two: three passes over hashes
+    pairs = lambda c, k: F.zip_with(c, F.slice(c, k + 1, F.size(c)), lambda x, y: F.xxhash64(x, y))
+    base = base.withColumn("__1", F.when(F.size("__w") > WINDOW, F.transform("__w", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    for k in (1, 2, 4):
+        base = base.withColumn(f"__{2 * k}", pairs(F.col(f"__{k}"), k))
+    base = base.withColumn("__h", F.slice("__8", 1, F.greatest(F.lit(0), F.size("__8") - (WINDOW - 1))))
     repeated = F.size(F.array_distinct("__h")) < F.size("__h")
     marked = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     base = base.withColumn("__m", F.when(repeated, marked))
@@ -79,7 +81,7 @@ def features(docs: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> D
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("p"))
     covered = F.aggregate("__a", start, lambda s, x: F.struct((s["n"] + F.least(F.lit(WINDOW), x - s["p"])).alias("n"), x.alias("p")), lambda s: s["n"])
     n = F.size("__w").cast("long")
-    chars = F.length(_dropped(F.col("__t"), SPACES)).cast("long")
+    chars = F.length(F.array_join("__w", "")).cast("long")
     return base.select(
         *keep,
         n.alias("n_words"),
