@@ -8,12 +8,13 @@ their fingerprints: two fingerprints within ``RADIUS`` bits differ by at most
 free finds every fingerprint within the radius. Candidates are verified by the
 exact weighted Jaccard similarity of the shingles of window and item.
 
-A window that shares no shingle with any item has similarity 0, so every window that
-shares one gets a fingerprint and the others need none; this drops no match, and it is
-left to the fingerprints to find the candidates among them.
+A window that shares no shingle with any item of its size has similarity 0, so every
+window that shares one gets a fingerprint and the others need none; this drops no match,
+and it is left to the fingerprints to find the candidates among them.
 
 The benchmark goes to the executors in parts of at most ``PART_ITEMS`` items and
-``PART_CHARS`` characters; a larger benchmark takes more passes.
+``PART_CHARS`` characters; a larger benchmark takes more passes. One part is held at a
+time: what a pass has found is written before the next part is sent.
 
 Cases: null and empty texts match nothing; items of fewer than five words have one
 shingle of all their words and match documents of exactly those words; a document
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small_batches
+from ._spark import cut, small_batches
 from ._text import Block, Roller, blocks, combine, mix, word_spans
 
 SHINGLE = 5
@@ -141,24 +142,52 @@ class Benchmark:
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *self.shingles]))
         self.gate = np.zeros(GATE, bool)
         self.gate[(self.known & np.uint64(GATE - 1)).astype(np.int64)] = True
+        self.counted = [np.unique(h, return_counts=True) for h in self.shingles]
         by_size: dict[int, list[int]] = {}
         for k, h in enumerate(self.shingles):
             by_size.setdefault(len(h), []).append(k)
-        self.by_size = {s: (np.array(ks), Index(np.concatenate([fingerprints(self.shingles[k], s) for k in ks]), radius)) for s, ks in sorted(by_size.items())}
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Positions of shingles that an item has."""
+        self.groups = [(s, np.array(ks), Index(np.concatenate([fingerprints(self.shingles[k], s) for k in ks]), radius)) for s, ks in sorted(by_size.items())]
+        #: the groups that have an item with a known shingle, shingle by shingle, and where those of each start
+        pairs = [np.searchsorted(self.known, np.concatenate([self.shingles[k] for k in ks])) * len(self.groups) + g for g, (_, ks, _) in enumerate(self.groups)]
+        pairs = np.unique(np.concatenate([np.empty(0, np.int64), *pairs]))
+        self.held_by = pairs % max(1, len(self.groups))
+        self.held_at = np.searchsorted(pairs // max(1, len(self.groups)), np.arange(len(self.known) + 1))
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of shingles that an item has, and their places among the known ones."""
         at = np.flatnonzero(self.gate[(h & np.uint64(GATE - 1)).astype(np.int64)])
         if not len(self.known):
-            return at[:0]
+            return at[:0], at[:0]
         place = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-        return at[self.known[place] == h[at]]
-
-    def search(self, h: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int]]:
-        """For one document's shingles: item -> (best similarity, its first shingle)."""
+        same = self.known[place] == h[at]
+        return at[same], place[same]
+
+    def similarities(self, h: np.ndarray, at: np.ndarray, width: int, item: int) -> np.ndarray:
+        """Exact weighted Jaccard of the windows at ``at`` with an item.
+
+        Where no shingle of the item is met twice in the stretch, and the item has each once,
+        the lesser counts are a running sum; else window by window.
+        """
+        values, counts = self.counted[item]
+        lo = int(at.min())
+        stretch = h[lo : int(at.max()) + width]
+        place = np.minimum(np.searchsorted(values, stretch), len(values) - 1)
+        met = values[place] == stretch
+        if counts.max() > 1 or np.bincount(place[met], minlength=1).max() > 1:
+            return np.array([weighted_jaccard(h[x : x + width], self.shingles[item]) for x in at.tolist()])
+        upto = np.append(0, np.cumsum(met))
+        both = upto[at - lo + width] - upto[at - lo]
+        return both / (width + len(self.shingles[item]) - both)
+
+    def search(self, h: np.ndarray, at: np.ndarray, place: np.ndarray) -> dict[int, tuple[float, int]]:
+        """For one document's shingles, of which items have those at ``at``: item -> (best similarity, its first shingle)."""
         best: dict[int, tuple[float, int]] = {}
-        for size, (items, index) in self.by_size.items():
-            width = min(size, len(h))
+        n = self.held_at[place + 1] - self.held_at[place]
+        group = self.held_by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.held_at[place], n)]
+        at = np.repeat(at, n)
+        for g in np.unique(group).tolist():
+            size, items, index = self.groups[g]
+            hits, width = at[group == g], min(size, len(h))
             if width < self.least * size:
                 continue
             start = np.zeros(len(h) - width + 2, np.int64)
@@ -168,23 +197,25 @@ class Benchmark:
             for run in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1) if len(windows) else []:
                 for lo in range(0, len(run), STRETCH):
                     some = run[lo : lo + STRETCH]
-                    prints = fingerprints(h[some[0] : some[-1] + width], width)
-                    for q, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
-                        item, at = items[k], int(some[q])
-                        s = weighted_jaccard(h[at : at + width], self.shingles[item])
-                        if s >= self.least - 1e-12 and s > best.get(item, (0.0, 0))[0]:
-                            best[item] = (s, at)
+                    query, found = index.search(fingerprints(h[some[0] : some[-1] + width], width))
+                    for k in np.unique(found).tolist():
+                        near = some[query[found == k]]
+                        s = self.similarities(h, near, width, items[k])
+                        top = int(s.argmax())
+                        if s[top] >= self.least - 1e-12 and s[top] > best.get(items[k], (0.0, 0))[0]:
+                            best[items[k]] = (float(s[top]), int(near[top]))
         return best
 
     def matches(self, column):
         """(row, item id, similarity, first word) of a column of texts."""
         for block in blocks(column):
             words = shingled(block, self.roller)
-            hits = self.hits(words.h)
+            hits, place = self.hits(words.h)
             owner = words.doc[hits]
             for d in np.unique(owner):
                 a, b = words.first[d], words.first[d + 1]
-                for item, (s, at) in self.search(words.h[a:b], hits[owner == d] - a).items():
+                mine = owner == d
+                for item, (s, at) in self.search(words.h[a:b], hits[mine] - a, place[mine]).items():
                     yield block.lo + int(d), self.ids[item], s, at
 
 
@@ -217,7 +248,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
                 at, items, s, first = zip(*rows, strict=True) if rows else ((),) * 4
                 yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int64())], ["id", "item_id", "similarity", "first_word"])
 
-        found = slim.mapInArrow(run, f"id {kind}, item_id long, similarity double, first_word long")
+        found = cut(slim.mapInArrow(run, f"id {kind}, item_id long, similarity double, first_word long"))
+        shared.destroy()
         out = found if out is None else out.union(found)
     best = out.groupBy("id", "item_id").agg(F.max(F.struct("similarity", -F.col("first_word"))).alias("x"))
     return best.select(F.col("id").alias(id_col), "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.col2")).alias("first_word"))
@@ -226,16 +258,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that hold no item; each row is judged where it lies."""
     small_batches(docs)
-    at = docs.columns.index(text)
+    at, schema = docs.columns.index(text), docs.schema
+    held = None
     for part in _parts(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        if held is not None:
+            docs = cut(docs)
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=held):
             bench = Benchmark(*shared.value, least=least)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, *_ in bench.matches(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
