@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import TABLES, shared_folder
+from ._spark import TABLES, note_written, shared_folder
 
 Find = Callable[[list[np.ndarray], list["np.ndarray | None"], list[np.ndarray]], list[np.ndarray]]
 
@@ -66,6 +66,7 @@ def chunked(rows: DataFrame, order: tuple[str, ...] = (), tidy: Callable[[pa.Tab
 
     packed = rows.repartition(n, "c").sortWithinPartitions("c", *order).mapInArrow(pack, schema)
     name, path = f"{TABLES}{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    note_written(path, name)
     packed.write.bucketBy(n, "c").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +44,33 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    note_written(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: folders and names of the tables written so far, in order
+_written: list[tuple[str, str | None]] = []
+
+
+def note_written(path: str, table: str | None = None) -> None:
+    _written.append((path, table))
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is written inside; for work whose result is written out by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path, table in _written[before:]:
+            if table:
+                spark.sql(f"drop table if exists `{table}`")
+            drop(spark, path)
+        del _written[before:]
+
+
 def drop(spark: SparkSession, url: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(url)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -171,14 +171,26 @@ def test_windows_are_found_by_their_fingerprints(monkeypatch):
     w = item.split()
     near = " ".join([*text(81, 30).split(), w[0], "other", *w[2:], *text(82, 30).split()])
     far = " ".join([*text(83, 30).split(), *w[:8], *text(84, 60).split()])
-    seen = []
-    real = decontam.weighted_jaccard
-    monkeypatch.setattr(decontam, "weighted_jaccard", lambda a, b: seen.append(1) or real(a, b))
-    windows = []
-    prints = decontam.fingerprints
+    verified, windows = [], []
+    exact, prints = bench.similarities, decontam.fingerprints
+    monkeypatch.setattr(bench, "similarities", lambda h, at, width, k: verified.append(len(at)) or exact(h, at, width, k))
     monkeypatch.setattr(decontam, "fingerprints", lambda h, size: windows.append(len(h) - size + 1) or prints(h, size))
     assert [m[0] for m in bench.matches(pa.array([near, far]))] == [0]
-    assert 0 < 2 * len(seen) < sum(windows)
+    assert 0 < 2 * sum(verified) < sum(windows)
+
+
+def test_similarities_of_windows():
+    """The running sum and the count window by window are the exact weighted similarity."""
+    rng = np.random.default_rng(12)
+    for distinct in (True, False):
+        items = [" ".join(f"w{x}" for x in (rng.permutation(60)[:30] if distinct else rng.integers(0, 3, 30))) for _ in range(3)]
+        bench = decontam.Benchmark([0, 1, 2], items)
+        for item in range(3):
+            own = bench.shingles[item]
+            h = np.concatenate([rng.integers(1, 1 << 60, 40, dtype=np.uint64), own, rng.integers(1, 1 << 60, 40, dtype=np.uint64)])
+            at = np.arange(20, 60, 3)
+            want = [decontam.weighted_jaccard(h[x : x + len(own)], own) for x in at.tolist()]
+            assert bench.similarities(h, at, len(own), item).tolist() == pytest.approx(want)
 
 
 # --- 6 urls
