@@ -235,10 +235,11 @@ def page_offset(entries: DataFrame, pages: DataFrame, labels: DataFrame | None =
     """
     spark = entries.sparkSession
     e = entries.orderBy("ord").withColumn("needles", py.title_needles("title")).filter(F.size("needles") > 0).limit(most_entries)
-    e = e.select("ord", "start_page", F.explode("needles").alias("needle"))
+    # at most ``most_entries`` entries, as one array that every page is held against
+    looked_for = e.agg(F.collect_list(F.struct("ord", "start_page", "needles"))).scalar()
     p = pages.filter(F.col("page").between(max(1, first), first + last - 1)).select("page", py.normalize("text").alias("norm"))
-    # at most ``most_entries`` entries meet the pages, so the product is as long as the pages
-    hits = p.join(F.broadcast(e), F.col("norm").contains(F.col("needle"))).select("page", "ord", "start_page").distinct()
+    named = F.filter("entries", lambda x: F.exists(x["needles"], lambda n: F.contains(F.col("norm"), n)))
+    hits = p.withColumn("entries", looked_for).select("page", F.explode(named).alias("x")).select("page", "x.ord", "x.start_page").distinct()
     single = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("page"))).filter("n = 1")
     found = single.groupBy("ord", "start_page").agg(F.min("page").alias("page")).orderBy("page").limit(most_found)
     votes = found.select((F.col("page") - F.col("start_page")).alias("offset"), "page").groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
