@@ -46,13 +46,18 @@ def covered(sections: DataFrame, pages: DataFrame, keys: list[str], text: str) -
     """Sections all of whose pages are there, with the texts joined by an empty line.
 
     ``sections`` has start_page and end_page (null: one page); ``pages`` has page and the
-    text. An empty page counts as there and adds nothing.
+    text. An empty page counts as there and adds nothing; sections of one key are one. Each
+    range of pages is read once, however many sections have it, and only a range without
+    a gap carries its texts.
     """
-    end = F.coalesce("end_page", "start_page")
-    wide = sections.filter("start_page is not null").withColumn("page", F.explode(F.sequence(F.col("start_page"), F.greatest(F.col("start_page"), end))))
-    met = wide.join(pages, "page", "left")
-    parts = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(text), F.lit("")) != "", F.struct("page", F.col(text).alias("t")))))
-    out = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col(text).isNull()).alias("n_missing"), parts.alias("parts"))
+    last = F.greatest("start_page", F.coalesce("end_page", "start_page"))
+    wide = sections.filter("start_page is not null").select(*keys, F.col("start_page").alias("__a"), last.alias("__b"))
+    ranges = wide.select("__a", "__b").distinct().withColumn("page", F.explode(F.sequence("__a", "__b")))
+    parts = F.collect_list(F.when(F.coalesce(F.col(text), F.lit("")) != "", F.struct("page", F.col(text).alias("t"))))
+    read = ranges.join(pages, "page", "left").groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).isNull()).alias("gone"), parts.alias("parts"))
+    read = read.select(F.col("__a").alias("__ra"), F.col("__b").alias("__rb"), "n", "gone", F.when(F.col("gone") == 0, F.col("parts")).alias("parts"))
+    met = wide.join(read, (F.col("__a") == F.col("__ra")) & (F.col("__b") == F.col("__rb")))
+    out = met.groupBy(*keys).agg(F.sum("n").alias("n_pages"), F.sum("gone").alias("n_missing"), F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
     return out.withColumn("text", F.when(F.col("n_missing") == 0, F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n"))).drop("parts")
 
 
