@@ -80,3 +80,18 @@ def candidate_order(spark, sf_dir):
 
     order = Window.partitionBy("c_nationkey").orderBy(F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1), "c_custkey")
     return read(spark, sf_dir, "customer").withColumn("n", F.row_number().over(order)).filter("n <= 3").select("c_nationkey", "c_custkey")
+
+
+IMAGE_IDS = (("openai", "gpt-4o-mini", True), ("openai", "o1-mini", False), ("openai", "gpt-3.5", False), ("anthropic", "claude-3-x", True), ("anthropic", "claude-2", False), ("gemini", "gemini-1", True), ("xai", "grok-4-fast", True), ("xai", "grok-2", False), ("other", "qwen-vl-7b", True), ("other", "plain-7b", False))
+
+
+@query("""with m(k, provider, model, guess) as (values """ + ", ".join(f"({k}, '{p}', '{m}', {str(x).lower()})" for k, (p, m, x) in enumerate(IMAGE_IDS)) + f""")
+select c_custkey, provider, model, case c_custkey % 3 when 0 then true when 1 then false else guess end as images from customer join m on k = c_custkey % {len(IMAGE_IDS)}""")
+def image_models(spark, sf_dir):
+    """Whether a model reads images: the catalogue's flag, else by its name."""
+    c = read(spark, sf_dir, "customer")
+    ids = F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m, _ in IMAGE_IDS))
+    x = F.element_at(ids, (F.col("c_custkey") % len(IMAGE_IDS) + 1).cast("int"))
+    listed = F.when(F.col("c_custkey") % 3 == 0, True).when(F.col("c_custkey") % 3 == 1, False)
+    rows = c.select("c_custkey", x["provider"].alias("provider"), x["model"].alias("model"), listed.alias("listed"))
+    return rows.select("c_custkey", "provider", "model", mf.supports_images(F.col("provider"), F.col("model"), F.col("listed")).alias("images"))

@@ -151,3 +151,12 @@ def resolved_hrefs(spark, sf_dir):
 def normalized_names(spark, sf_dir):
     """Compatibility forms: a superscript, a fullwidth letter, a ligature's accent."""
     return read(spark, sf_dir, "part").select("p_partkey", py.normalize(F.concat("p_name", F.lit("Ａ¹ -b²"))).alias("norm"))
+
+
+@query("select c_custkey, k, case k when 0 then trim(repeat('one ', 20)) || ' ' || c_name when 1 then trim(repeat('two ', 20)) else trim(repeat('six ', 20)) end as page from customer, (select unnest([0, 1, 2]) as k)")
+def signature_pages(spark, sf_dir):
+    """A text cut where the first words of its pages occur."""
+    c = read(spark, sf_dir, "customer")
+    text = F.concat(F.repeat(F.lit("one "), 20), F.col("c_name"), F.lit("\n"), F.repeat(F.lit("two "), 20), F.lit("\n"), F.repeat(F.lit("six "), 20))
+    pages = py.split_by_signatures(text, F.array(*map(F.lit, ("one one", "two two", "six six"))))
+    return c.select("c_custkey", F.posexplode(pages).alias("k", "page"))
