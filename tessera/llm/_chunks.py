@@ -37,7 +37,7 @@ def chunked(rows: DataFrame, order: tuple[str, ...] = (), tidy: Callable[[pa.Tab
     gathered in one task; the number of values of ``c`` must follow the input.
     """
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     fields = [f for f in rows.schema.fields if f.name != "c"]
     schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
 

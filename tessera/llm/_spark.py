@@ -86,6 +86,7 @@ def sweep(spark: SparkSession) -> None:
         if table.name.startswith(TABLES):
             spark.sql(f"drop table if exists `{table.name}`")
     drop(spark, shared_folder(spark))
+    _written.clear()
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
