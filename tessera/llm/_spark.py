@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tessera"
 
 
-def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     A table is smaller than a checkpoint, has exact sizes for the planner, and does
@@ -45,7 +45,7 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
         df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     note_written(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

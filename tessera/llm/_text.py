@@ -106,9 +106,9 @@ class Roller:
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
 
-def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII white space; no run crosses texts."""
-    full = ~IS_SPACE[block.data]
+def word_spans(block: Block, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII white space, or other bytes ``between`` words; no run crosses texts."""
+    full = ~between[block.data]
     n = len(full)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)

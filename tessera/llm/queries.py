@@ -1,12 +1,14 @@
-"""The subpackage's registered queries: op1 to op10."""
+"""The subpackage's registered queries: op1 to op13."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, lines, mixing, neardup, quality, repeats, toxicity, urls
+from . import decontam, html, langid, lines, mixing, neardup, periodic, quality, repeats, resample, tokens, toxicity, urls
+from ._spark import note_written, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +57,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files lie below the shared folder, and go with ``sweep``."""
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    note_written(path)
+    return tokens.digest(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -66,9 +85,13 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_importance": op11_importance,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_ids": op13_token_ids,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_importance": resample.ORACLE,
 }
