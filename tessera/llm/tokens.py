@@ -5,9 +5,9 @@ Writing:
 1. Every text is encoded once, in its task, and its ids are kept in a table (``cut``).
 2. Ids are counted over all texts; the most frequent gets rank 0, ties go to the
    smaller id. There is one rank an id of the vocabulary, so this table is bounded.
-3. A text's ranks become a stream (below), and (id, number of ids, stream) moves once,
-   by a range sort on the id. Each task packs its rows into blocks of about
-   ``BLOCK_BYTES`` and writes them, in order, ``BLOCKS`` a file.
+3. The ids of texts move once, by a range sort on the id of the row. Each task then turns
+   them into streams of ranks (below), packs these into blocks of about ``BLOCK_BYTES``
+   and writes them, in order, ``BLOCKS`` a file.
 
 Reading takes each file to a task, which decodes blocks by numpy table lookup. Where a
 document starts among all ids follows from the blocks' numbers in ``index``.
@@ -76,12 +76,22 @@ def _bytes(*spans: tuple[int, int]) -> np.ndarray:
     return out
 
 
-LETTER, DIGIT = _bytes((0x41, 0x5A), (0x61, 0x7A)), _bytes((0x30, 0x39))
-#: other printable ASCII, without the apostrophe, which takes letters to itself
-MARK = _bytes((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
-BREAK = _bytes((0x09, 0x0D))
-#: first bytes of all characters but white space; a first byte that some white space beyond ASCII has is left out
-NO_SPACE = ~_bytes((0x00, 0x20), (0xC2, 0xC2), (0xE1, 0xE3))
+#: classes of bytes; marks are printable ASCII without the apostrophe, which takes letters to itself, FAR may begin white space beyond ASCII
+SPACE, BREAK, LETTER, DIGIT, MARK, OTHER, HIGH, FAR = range(8)
+CLASS = np.full(256, OTHER, np.uint8)
+for _spans, _kind in (
+    ([(0x20, 0x20)], SPACE), ([(0x09, 0x0D)], BREAK), ([(0x41, 0x5A), (0x61, 0x7A)], LETTER), ([(0x30, 0x39)], DIGIT),
+    ([(0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)], MARK), ([(0x80, 0xFF)], HIGH), ([(0xC2, 0xC2), (0xE1, 0xE3)], FAR),
+):
+    for _lo, _hi in _spans:
+        CLASS[_lo : _hi + 1] = _kind
+#: by class of a byte and of the next one: whether a text may be cut between the two, and before the first of them
+BETWEEN, BEFORE = np.zeros((8, 8), bool), np.zeros((8, 8), bool)
+BETWEEN[LETTER, [SPACE, BREAK, DIGIT, MARK, OTHER]] = True
+BETWEEN[DIGIT, [SPACE, BREAK, LETTER, MARK, OTHER]] = True
+BETWEEN[MARK, [LETTER, DIGIT]] = True
+BETWEEN[BREAK, [LETTER, DIGIT, MARK]] = BEFORE[BREAK, [LETTER, DIGIT, MARK]] = True
+BEFORE[SPACE, [LETTER, DIGIT, MARK, OTHER, HIGH]] = True
 #: one token class of the pattern from end to end: letters up to U+00FF, digits, or marks, with a space before or not
 ONE_CLASS = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
@@ -96,18 +106,17 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     other white space that an ASCII word follows. Fewer cuts than that do no harm.
     """
     edge = np.zeros(len(data) + 1, bool)
-    edge[bounds] = True
     if len(data) > 1:
-        left, right = data[:-1], data[1:]
-        letter, digit = LETTER[left], DIGIT[left]
-        wide = np.zeros(len(left), bool)
-        wide[1:] = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
-        plain = right < 0x80
-        word = NO_SPACE[right]
-        word[bounds[(bounds > 0) & (bounds < len(data))] - 1] = False
-        last = BREAK[left] & plain & word
-        edge[1:-1] |= (letter | wide) & plain & ~LETTER[right] | digit & plain & ~DIGIT[right] | MARK[left] & (LETTER[right] | DIGIT[right]) | last
-        edge[:-2] |= (left == 0x20) & word | last
+        kind = CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+        kind[lead[(data[lead] != 0x97) & (data[lead] != 0xB7)]] = LETTER
+        pair = kind[:-1] << 3 | kind[1:]
+        edge[1:-1] = BETWEEN.ravel()[pair]
+        before = BEFORE.ravel()[pair]
+        last = bounds[(bounds > 0) & (bounds < len(data))]
+        before[last - 1] = False  # what follows is another text
+        edge[:-2] |= before
+    edge[bounds] = True
     return np.flatnonzero(edge)
 
 
@@ -150,27 +159,28 @@ class Encoder:
         """Each text by the library as it is."""
         return [x.ids for x in self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
 
-    def _keep(self, piece: bytes, ids: list[int]) -> None:
-        self.known[piece] = len(self.known)
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The numbers of the pieces; a piece of one class is asked of the model, another of the whole tokenizer."""
         if len(self.known) > PIECES:
             self._forget()
-        rest, tokenize = [], self.model.tokenize
+        known, flat, ends, tokenize, alike = self.known, self.flat, self.ends, self.model.tokenize, ONE_CLASS.fullmatch
+        rest = []
         for x in pieces:
-            if x not in self.known:
-                if ONE_CLASS.fullmatch(x):
-                    name = x.decode("latin-1")
-                    name = name.replace(" ", LETTERS[0x20]) if x.isascii() else name.translate(LETTERS)
-                    self._keep(x, [t.id for t in tokenize(name)])
-                else:
-                    rest.append(x)
+            if x in known:
+                continue
+            if not alike(x):
+                rest.append(x)
+                continue
+            name = x.decode("latin-1")
+            name = name.replace(" ", LETTERS[0x20]) if x.isascii() else name.translate(LETTERS)
+            known[x] = len(known)
+            flat.extend([t.id for t in tokenize(name)])
+            ends.append(len(flat))
         for x, ids in zip(rest, self.whole(rest), strict=True):
-            self._keep(x, ids)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            known[x] = len(known)
+            flat.extend(ids)
+            ends.append(len(flat))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts ``data[bounds[k]:bounds[k + 1]]``, and the number of ids of each."""
@@ -188,12 +198,23 @@ class Encoder:
             return np.empty(0, self.kind), np.zeros(n, np.int64)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         number = self._numbers(pieces.dictionary.to_pylist())
-        ends = np.array(self.ends)
-        which = pieces.indices.to_numpy()
-        first, long = ends[number][which], (ends[number + 1] - ends[number])[which]
-        upto = np.append(0, np.cumsum(long))
-        ids = np.array(self.flat).astype(self.kind)[np.repeat(first - upto[:-1], long) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.searchsorted(edge, bounds)])
+        ends, flat = np.array(self.ends), np.array(self.flat)
+        long = (ends[number + 1] - ends[number]).astype(np.int32)
+        upto = np.append(0, np.cumsum(long, dtype=np.int32))
+        own = flat[np.repeat((ends[number] - upto[:-1]).astype(np.int32), long) + np.arange(upto[-1], dtype=np.int32)].astype(self.kind)
+        placed = pa.ListArray.from_arrays(pa.array(upto), pa.array(own)).take(pieces.indices)
+        ids, upto = placed.flatten().to_numpy(), placed.offsets.to_numpy()
+        return ids, np.diff(upto[np.searchsorted(edge, bounds)].astype(np.int64))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(file: str) -> Encoder:
+    """The encoder of this worker, which goes on to remember pieces from task to task."""
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
 
 
 # --- streams
@@ -250,13 +271,13 @@ def unpack(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarra
 # --- blocks
 
 
-def make_block(part: int, block: int, names: list[str | None], counts: list[int], streams: list[bytes]) -> bytes:
+def make_block(part: int, block: int, names: list[str | None], counts: np.ndarray, sizes: np.ndarray, streams: list[bytes]) -> bytes:
     texts = [None if x is None else x.encode() for x in names]
     rows = np.zeros(len(names), [("name", "<i4"), ("ids", "<u4"), ("size", "<u4")])
     rows["name"] = [-1 if x is None else len(x) for x in texts]
-    rows["ids"], rows["size"] = counts, [len(x) for x in streams]
+    rows["ids"], rows["size"] = counts, sizes
     name_bytes = b"".join(x for x in texts if x)
-    head = HEADER.pack(MAGIC, VERSION, part, block, len(names), len(name_bytes), sum(counts), sum(map(len, streams)))
+    head = HEADER.pack(MAGIC, VERSION, part, block, len(names), len(name_bytes), int(counts.sum()), int(sizes.sum()))
     return b"".join([head, rows.tobytes(), name_bytes, *streams, b"\n"])
 
 
@@ -273,32 +294,31 @@ def headers(content: bytes):
 
 
 def _encoded(docs: DataFrame, id_col: str, text: str, tokenizer: str, end: int | None) -> DataFrame:
-    """(id, name, n, ids): the ids of each text as bytes, written."""
+    """(id, n, ids): the ids of each text as bytes, written."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        if end is not None and end >= 1 << 8 * encoder.kind.itemsize:
-            encoder.kind = np.dtype("<u4")
+        encoder = encoder_of(tokenizer)
+        width = np.dtype("<u4") if end is not None and end >= 1 << 8 * encoder.kind.itemsize else encoder.kind
         for batch in batches:
-            data, at = byte_view(batch.column(2))
+            data, at = byte_view(batch.column(1))
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + TEXTS, side="right")) - 1)
                 ids, counts = encoder.encode(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 if end is not None:
-                    ids = np.insert(ids, np.cumsum(counts), end)
+                    ids = np.insert(ids.astype(width), np.cumsum(counts), end)
                     counts = counts + 1
-                offsets = np.append(0, np.cumsum(counts)) * encoder.kind.itemsize
-                kept = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype(encoder.kind))])
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()), kept], ["id", "name", "n", "ids"])
+                offsets = np.append(0, np.cumsum(counts)) * width.itemsize
+                kept = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype(width))])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), kept], ["id", "n", "ids"])
                 lo = hi
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{id_col}`").cast("string").alias("name"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return cut(rows.mapInArrow(run, f"id {kind}, name string, n long, ids binary"), codec="zstd")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return cut(rows.mapInArrow(run, f"id {kind}, n long, ids binary"), codec="zstd")
 
 
-def _ids(counts: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _ids(counts: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Ids from the bytes of ``_encoded``, whose width follows from their number."""
     n = int(counts.sum())
     return data.view("<u2" if n and len(data) == 2 * n else "<u4")
@@ -310,8 +330,8 @@ def _counted(rows: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            data, at = byte_view(batch.column(1))
-            seen = np.bincount(_ids(batch.column(0).to_numpy(), data, at), minlength=len(total))
+            data, _ = byte_view(batch.column(1))
+            seen = np.bincount(_ids(batch.column(0).to_numpy(), data), minlength=len(total))
             seen[: len(total)] += total
             total = seen
         token = np.flatnonzero(total)
@@ -334,40 +354,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, id_
     rank_of = np.zeros(int(found["token"].max()) + 1 if len(found) else 1, np.uint32)
     rank_of[found["token"]] = found["rank"]
     shared = spark.sparkContext.broadcast(rank_of)
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def stream(batches):
-        for batch in batches:
-            counts = batch.column(2).to_numpy()
-            data, at = byte_view(batch.column(3))
-            out, sizes = pack(shared.value[_ids(counts, data, at)], counts)
-            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-            yield pa.record_batch([*batch.columns[:3], packed], ["id", "name", "n", "stream"])
 
     def pack_blocks(batches):
-        part, block = TaskContext.get().partitionId(), 0
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
+        part, block, size = TaskContext.get().partitionId(), 0, 0
+        names, counts, sizes, streams = [], [], [], []
 
         def flush():
-            return pa.record_batch([pa.array([make_block(part, block, *held)[:-1]], pa.binary())], ["block"])
+            made = make_block(part, block, names, np.concatenate(counts), np.concatenate(sizes), streams)
+            return pa.record_batch([pa.array([made[:-1]], pa.binary())], ["block"])
 
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for k, x in enumerate(row):
-                    held[k].append(x)
-                size += len(row[2])
+            data, _ = byte_view(batch.column(2))
+            n = batch.column(1).to_numpy()
+            out, each = pack(shared.value[_ids(n, data)], n)
+            upto, raw, name = np.append(0, np.cumsum(each)), out.tobytes(), batch.column(0).to_pylist()
+            lo = 0
+            while lo < len(n):
+                hi = min(len(n), int(np.searchsorted(upto, upto[lo] + block_bytes - size)))
+                names += name[lo:hi]
+                counts.append(n[lo:hi])
+                sizes.append(each[lo:hi])
+                streams.append(raw[upto[lo] : upto[hi]])
+                size, lo = size + int(upto[hi] - upto[lo]), hi
                 if size >= block_bytes:
                     yield flush()
-                    block, size, held = block + 1, 0, ([], [], [])
-        if held[0]:
+                    block, size = block + 1, 0
+                    names, counts, sizes, streams = [], [], [], []
+        if names:
             yield flush()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows) // (block_bytes * blocks))
     order = ["id", "tie"]
-    moved = rows.mapInArrow(stream, f"id {kind}, name string, n long, stream binary").withColumn("tie", F.monotonically_increasing_id())
-    moved = moved.repartitionByRange(n, *order).sortWithinPartitions(*order).select("name", "n", "stream").mapInArrow(pack_blocks, "block binary")
+    moved = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    moved = moved.select(F.col("id").cast("string").alias("name"), "n", "ids").mapInArrow(pack_blocks, "block binary")
     # the text writer puts the bytes of a value as they are, and a line feed after it
     moved.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", blocks).text(f"{path}/blocks")
 
