@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text as py
 from ..functions import text as tx
+from ..operators import fuzzy
 from ..operators import structure as st
 from ..sources.tables import read
 from .registry import query
@@ -147,6 +148,29 @@ def fuzzy_title(spark, sf_dir):
     return p.filter(F.col("rank") > 0.1).orderBy(F.desc("rank"), "p_partkey").limit(20).withColumn("rank", F.round(F.col("rank").cast("double"), 5))
 
 
+TITLES_SQL = f"titles as (select p_partkey as id, p_partkey % 20 = 0 as wanted, {GRAMS("p_name || ' ' || lower(p_type) || ' ' || p_brand")} as g from part)"
+RANK_SQL = "cast(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) as float)"
+
+
+def _titles(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand").alias("title"))
+
+
+@query(f"""with g as (select p_partkey as id, {GRAMS("p_name")} as g from part), c as (select min(id) as id, count(*) as copies, list_sort(g) as g from g group by list_sort(g))
+select x.id, x.copies, y.id as other, y.copies as other_copies, round({RANK_SQL}::double, 5) as rank from c x join c y on x.id < y.id where {RANK_SQL}::double > 0.3""")
+def similar_titles(spark, sf_dir):
+    """All names of parts against each other: pairs of classes that are like each other, and how many names each stands for."""
+    p = read(spark, sf_dir, "part")
+    return fuzzy.similar_titles(p, "p_partkey", "p_name").withColumn("rank", F.round(F.col("rank").cast("double"), 5))
+
+
+@query(f"""with {TITLES_SQL} select x.id as wanted, y.id as found, round({RANK_SQL}::double, 5) as rank from titles x join titles y on {RANK_SQL}::double > 0.7 where x.wanted""")
+def title_matches(spark, sf_dir):
+    """Every twentieth title against the whole catalogue."""
+    t = _titles(spark, sf_dir)
+    return fuzzy.match_titles(t.filter("id % 20 = 0"), t, "id", "title", 0.7).withColumn("rank", F.round(F.col("rank").cast("double"), 5))
+
+
 @query("""with w as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
 select doc_id, cast(median(length(line)) as double) as median_chars, (arg_min(k, (-c, f))) as mode_chars from w join (select doc_id as d, length(line) as k, count(*) as c, min(n) as f from w group by 1, 2) on d = doc_id group by 1""".replace("arg_min(k, (-c, f))", "arg_min(k, struct_pack(a := -c, b := f))"))
 def line_statistics(spark, sf_dir):
@@ -175,9 +199,9 @@ def log_tail(spark, sf_dir):
     return read(spark, sf_dir, "conversations").filter("turn >= 2").orderBy("turn", "conv_id").select("conv_id", "turn", "role")
 
 
-@query()
+@query("select conv_id, turn, role from conversations where turn >= 2")
 def log_tail_all(spark, sf_dir):
-    """As ``log_tail``; its test is a brute force and not SQL."""
+    """As ``log_tail``, under the name that earlier rounds had."""
     return log_tail(spark, sf_dir)
 
 

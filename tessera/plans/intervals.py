@@ -17,6 +17,15 @@ def coverage_union(spark, sf_dir):
     return iv.union_measure(sections(spark, sf_dir).filter("is_read"), ["book_id"], "start_page", "end_page")
 
 
+@query(f"{S}, p as (select book_id, unnest(generate_series(start_page, end_page)) as page from sections), n as (select book_id, count(distinct page) as pages from p group by 1), q as (select book_id, count(*) as parts from (select distinct book_id, extract(year from updated_at) as y from sections) group by 1) select n.book_id, pages, parts from n join q on q.book_id = n.book_id")
+def coverage_merged(spark, sf_dir):
+    """Bitmaps kept by year, merged to one a book, as a rollup that grows by day would be."""
+    s = sections(spark, sf_dir).withColumn("y", F.year("updated_at"))
+    kept = iv.page_words(s, ["book_id", "y"], "start_page", "end_page")
+    pages = iv.measure_words(iv.merge_words(kept, ["book_id"]), ["book_id"])
+    return pages.join(kept.groupBy("book_id").agg(F.count_distinct("y").alias("parts")), "book_id").select("book_id", "pages", "parts")
+
+
 @query(f"{S}, r as (select *, row_number() over () as i from sections) select distinct a.book_id from r a join r b on a.book_id = b.book_id and a.i < b.i and a.start_page <= b.end_page and b.start_page <= a.end_page")
 def overlap_check(spark, sf_dir):
     return iv.overlapping_keys(sections(spark, sf_dir), "book_id", "start_page", "end_page")
@@ -58,9 +67,8 @@ def carry_over(spark, sf_dir):
     return out.select("book_id", "ord", "read_pages", "is_read", F.coalesce(F.date_format("read_at", "yyyy-MM-dd"), F.lit("-")).alias("read_at"))
 
 
-def _covered(spark, sf_dir, last=None):
-    p = read(spark, sf_dir, "part").filter("p_partkey % 13 <> 0")
-    p = p if last is None else p.filter(F.col("p_partkey") <= last)
+def _covered(spark, sf_dir, missing=13):
+    p = read(spark, sf_dir, "part").filter(F.col("p_partkey") % missing != 0)
     pages = p.select(F.col("p_partkey").cast("int").alias("page"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("md"))
     out = iv.covered(sections(spark, sf_dir), pages, ["book_id", "no"], "md")
     return out.withColumn("text", F.coalesce("text", F.lit("-")))
@@ -69,16 +77,19 @@ def _covered(spark, sf_dir, last=None):
 PAGES_SQL = "pages_md as (select cast(p_partkey as int) as page, case when p_partkey % 7 = 0 then '' else p_name end as md from part where p_partkey % 13 <> 0)"
 
 
-@query(f"""{S}, {PAGES_SQL}, w as (select book_id, no, unnest(generate_series(start_page, end_page)) as page from sections)
-select book_id, no, count(*) as n_pages, count(*) filter (where md is null) as n_missing, case when count(*) filter (where md is null) = 0 then coalesce(string_agg(md, chr(10) || chr(10) order by w.page) filter (where md <> ''), '') else '-' end as text from w left join pages_md p on p.page = w.page group by 1, 2""")
+COVER_SQL = f"""{S}, {PAGES_SQL}, w as (select book_id, no, unnest(generate_series(start_page, end_page)) as page from sections)
+select book_id, no, count(*) as n_pages, count(*) filter (where md is null) as n_missing, case when count(*) filter (where md is null) = 0 then coalesce(string_agg(md, chr(10) || chr(10) order by w.page) filter (where md <> ''), '') else '-' end as text from w left join pages_md p on p.page = w.page group by 1, 2"""
+
+
+@query(COVER_SQL)
 def page_cover(spark, sf_dir):
     return _covered(spark, sf_dir)
 
 
-@query()
+@query(COVER_SQL.replace("% 13", "% 101"))
 def page_cover_all(spark, sf_dir):
-    """As ``page_cover``, of a book of which only the first 120 pages are there."""
-    return _covered(spark, sf_dir, 120)
+    """As ``page_cover``, of a book that lacks few of its pages."""
+    return _covered(spark, sf_dir, 101)
 
 
 LEAVES_SQL = "leaves as (select conv_id, turn as ord, turn // 3 as chapter, case when (conv_id + turn) % 5 <> 0 then cast(turn * 4 + conv_id % 3 + 1 as int) end as page from conversations)"
