@@ -28,6 +28,12 @@ def _key(grams: Column) -> Column:
     return F.md5(F.array_join(F.array_sort(grams), "\0"))
 
 
+def _code(gram: Column) -> Column:
+    """A trigram as one number: its three code points of 21 bits."""
+    point = lambda i: F.ascii(F.substring(gram, i, 1)).cast("long")
+    return F.shiftleft(point(1), 42) + F.shiftleft(point(2), 21) + point(3)
+
+
 def members(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """key, id of each title with a trigram; titles of one key have the same trigrams."""
     rows = df.select(F.col(id_col).alias("id"), tx.trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
@@ -35,9 +41,9 @@ def members(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def gram_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """key, id (the least), copies, grams: one row a class of titles."""
+    """key, id (the least), copies, grams (as numbers): one row a class of titles."""
     rows = df.select(F.col(id_col).alias("id"), tx.trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
-    return rows.groupBy(_key(F.col("grams")).alias("key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"))
+    return rows.groupBy(_key(F.col("grams")).alias("key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.transform("grams", _code)).alias("grams"))
 
 
 def _in_order(sets: DataFrame, seen: DataFrame) -> DataFrame:
@@ -70,8 +76,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, above: float =
     near = (F.col("a_n") >= F.col("b_n") * t) & (F.col("b_n") >= F.col("a_n") * t) & (room * (1 + t) >= (F.col("a_n") + F.col("b_n")) * t - 1e-9)
     if right is None:
         near &= F.col("a_key") < F.col("b_key")
-    met = a.join(b, "gram").filter(near)
-    met = met.filter(F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("gram"))
+    met = a.join(b, "gram").filter(near).filter(F.array_intersect("a_first", "b_first")[0] == F.col("gram"))
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     rank = (shared / (F.col("a_n") + F.col("b_n") - shared)).cast("float")
     met = met.select("a_key", "a_id", "a_copies", "b_key", "b_id", "b_copies", rank.alias("rank"))
