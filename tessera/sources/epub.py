@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import io
 import posixpath
+import re
 import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.python_text import resolve
@@ -31,6 +33,16 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+_NAMED = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
+_XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
+
+
+def _parse(xml: str) -> ET.Element:
+    """Well-formed XML in which HTML's names of characters, which XML does not know, may occur."""
+    known = lambda m: m[0] if m[1] in _XML_NAMES else html.unescape(m[0])
+    return ET.fromstring(_NAMED.sub(known, xml.lstrip("\ufeff \t\r\n")))
+
+
 def _all(root: ET.Element, name: str) -> list[ET.Element]:
     return [e for e in root.iter() if isinstance(e.tag, str) and _local(e.tag) == name]
 
@@ -39,51 +51,69 @@ def _text(e: ET.Element | None) -> str:
     return " ".join("".join(e.itertext()).split()) if e is not None else ""
 
 
-def _toc(xml: str, folder: str) -> dict[str, str]:
-    """path -> label, the first one for each path, from an NCX or a navigation document."""
-    root = ET.fromstring(xml)
-    found: dict[str, str] = {}
+def _kinds(nav: ET.Element) -> set[str]:
+    """What a nav element says it is, by epub:type or role."""
+    return {x for name, value in nav.attrib.items() if _local(name) in ("type", "role") for x in value.lower().split()}
+
+
+def _links(root: ET.Element) -> list[tuple[str, str]]:
+    """(reference, label) in the order of a table of contents, an NCX or a navigation document."""
     if _local(root.tag) == "ncx":
-        for point in _all(root, "navPoint"):
-            label = next((c for c in point if _local(c.tag) == "navLabel"), None)
-            src = next((c.get("src", "") for c in point if _local(c.tag) == "content"), "")
-            found.setdefault(resolve(src, folder), _text(label))
-        return found
+        child = lambda point, name: next((c for c in point if _local(c.tag) == name), None)
+        points = [(child(p, "content"), child(p, "navLabel")) for p in _all(root, "navPoint")]
+        return [(src.get("src", ""), _text(label)) for src, label in points if src is not None]
     navs = _all(root, "nav")
-    kind = lambda n: n.get("{http://www.idpf.org/2007/ops}type", "")
-    nav = next((n for n in navs if "toc" in kind(n).split()), None)
-    nav = nav if nav is not None else next((n for n in navs if n.get("role") == "doc-toc"), navs[0] if navs else None)
-    for a in _all(nav, "a") if nav is not None else []:
-        found.setdefault(resolve(a.get("href", ""), folder), _text(a))
+    of_kind = [n for kind in ("toc", "doc-toc") for n in navs if kind in _kinds(n)]
+    return [(a.get("href", ""), _text(a)) for a in _all((of_kind + navs)[0], "a")] if navs else []
+
+
+def toc_titles(xml: str, folder: str) -> dict[str, str]:
+    """path -> title, the first one that is not empty for each path; nothing from a table that cannot be parsed."""
+    try:
+        links = _links(_parse(xml))
+    except ET.ParseError:
+        return {}
+    found: dict[str, str] = {}
+    for href, label in links:
+        if href and label:
+            found.setdefault(resolve(href, folder), label)
     return found
 
 
-def read_package(content: bytes) -> tuple[str, str, list[tuple[str, str | None, str]]]:
-    """(title, author, [(href, title of the table of contents, XHTML)]) in reading order."""
+def _is_text(item: ET.Element) -> bool:
+    return bool(re.search("x?html", item.get("media-type", ""), re.I) or re.search(r"\.x?html?$", item.get("href", ""), re.I))
+
+
+def read_package(content: bytes) -> tuple[str, str | None, list[tuple[str, str | None, str]]]:
+    """(title, author, [(href, title of the table of contents, XHTML)]) in reading order.
+
+    The table of contents is the one that the spine names, else the first item that is a
+    navigation document. Items that are missing or no text are passed over. Without a
+    container, its path, or a package the archive is broken.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         get = lambda path: z.read(path).decode("utf-8", "replace")
-        container = ET.fromstring(get("META-INF/container.xml"))
-        opf = next(e.get("full-path", "") for e in _all(container, "rootfile"))
+        opf = next((e.get("full-path", "") for e in _all(_parse(get("META-INF/container.xml")), "rootfile")), "")
+        if not opf:
+            raise ValueError("no path of a package in META-INF/container.xml")
         folder = posixpath.dirname(opf)
-        package = ET.fromstring(get(opf))
+        package = _parse(get(opf))
         title, author = (next(iter(map(_text, _all(package, n))), "") for n in ("title", "creator"))
-        items = {e.get("id"): e for e in _all(package, "item")}
+        listed = [e for e in _all(package, "item") if e.get("id") and e.get("href")]
+        items = {e.get("id"): e for e in listed}
         spine = next(iter(_all(package, "spine")), None)
-        toc: dict[str, str] = {}
-        nav = [e for e in items.values() if "nav" in e.get("properties", "").split()]
-        ncx = [items[spine.get("toc")]] if spine is not None and spine.get("toc") in items else []
-        for e in (*nav, *ncx):
-            path = resolve(e.get("href", ""), folder)
-            if path in names and not toc:
-                toc = _toc(get(path), posixpath.dirname(path))
+        named = spine.get("toc") if spine is not None else None
+        toc = items.get(named) if named else next((e for e in listed if "nav" in re.findall(r"\w+", e.get("properties", ""))), None)
+        where = resolve(toc.get("href"), folder) if toc is not None else ""
+        titles = toc_titles(get(where), posixpath.dirname(where)) if where in names else {}
         chapters = []
         for ref in _all(spine, "itemref") if spine is not None else []:
             e = items.get(ref.get("idref"))
-            path = resolve(e.get("href", ""), folder) if e is not None else ""
-            if path in names and e not in nav:
-                chapters.append((path, toc.get(path), get(path)))
-        return title, author, chapters
+            path = resolve(e.get("href"), folder) if e is not None and _is_text(e) else ""
+            if path in names:
+                chapters.append((path, titles.get(path), get(path)))
+        return title or "Untitled", author or None, chapters
 
 
 def chapters(files: DataFrame) -> DataFrame:
@@ -95,7 +125,7 @@ def chapters(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     title, author, found = read_package(content)
-                    rows += [(path, title, author, k, href, toc, html, None) for k, (href, toc, html) in enumerate(found)]
+                    rows += [(path, title, author, k, href, toc, text, None) for k, (href, toc, text) in enumerate(found)]
                 except Exception as e:  # noqa: BLE001  a broken file must not stop the others
                     rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAPTERS.split(", ")]).astype({"ord": "Int32"})
@@ -104,16 +134,20 @@ def chapters(files: DataFrame) -> DataFrame:
 
 
 def readable(chapters_: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """Chapters with a title and plain text; those under ``least`` characters are dropped.
+    """Chapters with a title and plain text, numbered from 1; those under ``least`` characters are dropped.
 
-    The title is that of the table of contents, else the text's own.
+    The title is that of the table of contents, else the text's own unless that is the
+    book's, or how the book's begins, else "Chapter" and the number. The numbers count
+    what is left of a book, in one window a book.
     """
     from ..functions import python_text as py
     from ..functions import text as tx
 
-    html = F.col("html")
-    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(html, py.decode_entities)).withColumn("heading", tx.xhtml_title(html, py.decode_entities))
-    return out.filter(F.length("text") >= least).withColumn("chapter_title", F.coalesce(F.nullif(F.trim("toc_title"), F.lit("")), "heading")).drop("html")
+    source = F.col("html")
+    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(source, py.decode_entities)).withColumn("heading", tx.xhtml_title(source, py.decode_entities))
+    out = out.filter(F.length("text") >= least).drop("html").withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
+    own = F.when(~F.startswith(F.lower(tx.trim(F.col("title"))), F.lower(tx.trim(F.col("heading")))), tx.trim(F.col("heading")))
+    return out.withColumn("chapter_title", F.coalesce(F.nullif(tx.trim(F.col("toc_title")), F.lit("")), own, F.concat(F.lit("Chapter "), F.col("number").cast("string"))))
 
 
-__all__ = ["chapters", "content_hash", "read_package", "readable", "sniff"]
+__all__ = ["chapters", "content_hash", "read_package", "readable", "sniff", "toc_titles"]
