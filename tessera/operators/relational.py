@@ -75,6 +75,13 @@ def capped(df: DataFrame, caps: dict[str, int], kind: str = "kind") -> DataFrame
     return met.filter(F.when(F.col("__over"), told).isNull()).drop("__kind", "__n", "__over")
 
 
+def over_caps(df: DataFrame, caps: dict[str, int], kind: str = "kind") -> DataFrame:
+    """kind, n, cap of the kinds that are over their caps: what a rejected payload is told."""
+    n = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+    cap = F.try_element_at(F.create_map(*(F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for item in caps.items() for x in item)), F.col(kind))
+    return n.withColumn("cap", cap).filter(F.col("n") > F.col("cap"))
+
+
 def visible_to(children: DataFrame, books: DataFrame, user_id: object, key: str = "book_id") -> DataFrame:
     """Rows whose book belongs to the user."""
     own = live(books).filter(F.col("user_id") == F.lit(user_id)).select(F.col("id").alias(key))

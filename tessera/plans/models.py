@@ -9,17 +9,40 @@ from ..operators import catalog
 from ..sources.tables import USAGE_SQL, read, usage_events
 from .registry import query
 
-MODELS = (
-    ("openai", "gpt-4o", 2.5, 10.0), ("openai", "gpt-4o-mini", 0.15, 0.6), ("openai", "gpt-4.1-nano", 0.1, 0.4), ("openai", "gpt-4.1-nano-preview", 0.1, 0.4),
-    ("openai", "text-embedding-3-small", 0.02, 0.0), ("openai", "whisper-1", 0.0, 0.0), ("openai", "o3", 2.0, 8.0), ("openai", "gpt-5", 1.25, 10.0),
-)
-VALUES = "(values " + ", ".join(f"('{p}', '{m}', {i}::double, {o}::double)" for p, m, i, o in MODELS) + ") as t(provider, model, input, output)"
+#: ids of models made of parts: what a provider's begin with, and endings of which some are no chat models, unstable or small
+FAMILIES = (("openai", "gpt-"), ("anthropic", "claude-"), ("gemini", "gemini-"), ("other", ""))
+ENDINGS = ("", "-preview", "-embed", "-instruct", "-3b", "-vl", "-image")
 
 
-@query(f"""select cast(row_number() over (order by input * 0.75 + output * 0.25, case when regexp_matches(model, 'preview|exp') then 1 else 0 end, try_cast(replace(regexp_extract(model, '(\\d+(?:[.-]\\d+)?)', 1), '-', '.') as double) desc, model) as int) as rank, provider, model
-from {VALUES} where not regexp_matches(model, 'embed|whisper')""")
+def _chosen(names, n):
+    return F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+
+
+def _models(spark, sf_dir):
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    name = F.concat(_chosen([f for _, f in FAMILIES], k), (k % 5 + 1).cast("string"), F.lit("."), size, F.lit("-p"), k.cast("string"), _chosen(ENDINGS, F.col("p_size")))
+    return p.select("p_partkey", _chosen([n for n, _ in FAMILIES], k).alias("provider"), name.alias("model"), (F.col("p_size") % 4).cast("double").alias("input"), (F.col("p_size") % 3).cast("double").alias("output"))
+
+
+_LIST = lambda names: "['" + "', '".join(names) + "']"
+MODELS_SQL = f"""models as (select p_partkey, {_LIST(n for n, _ in FAMILIES)}[p_partkey % 4 + 1] as provider,
+  {_LIST(f for _, f in FAMILIES)}[p_partkey % 4 + 1] || (p_partkey % 5 + 1) || '.' || p_size || '-p' || p_partkey || {_LIST(ENDINGS)}[p_size % {len(ENDINGS)} + 1] as model, cast(p_size % 4 as double) as input, cast(p_size % 3 as double) as output from part)"""
+TEXT_SQL = "not regexp_matches(model, 'embed|-image') and (provider not in ('openai', 'gemini') or not regexp_matches(model, 'image|-instruct'))"
+
+
+@query(f"""with {MODELS_SQL}, m as (select *, regexp_matches(model, '-3b$') as demoted, regexp_matches(model, 'preview') as unstable, cast(regexp_extract(model, '(\\d+(?:[.-]\\d+)?)', 1) as double) as version from models where {TEXT_SQL}),
+r as (select *, row_number() over (order by demoted, input * 0.75 + output * 0.25, unstable, version desc, model) as rank from m)
+select cast(rank as int) as rank, provider, model from r where rank <= 100""")
 def rank_models(spark, sf_dir):
-    return catalog.rank(spark.createDataFrame(MODELS, "provider string, model string, input double, output double"))
+    """The first hundred of the chat models among ids made of parts."""
+    return catalog.rank(_models(spark, sf_dir).drop("p_partkey"), native=False)
+
+
+@query(f"with {MODELS_SQL} select p_partkey, provider, model, {TEXT_SQL} as chats from models")
+def text_models(spark, sf_dir):
+    """Whether a model chats, by its provider and its id."""
+    return _models(spark, sf_dir).select("p_partkey", "provider", "model", mf.is_text_model(F.col("provider"), F.col("model")).alias("chats"))
 
 
 KEYS = (("small", 1.0, 2.0), ("small gizmo", 3.0, 4.0), ("red", 5.0, 6.0), ("red widget", 7.0, 8.0), ("hot gear", 9.0, 10.0), ("b", 0.5, 0.5))
@@ -65,12 +88,18 @@ def key_providers(spark, sf_dir):
     return c.select("c_custkey", F.array_join(mf.key_providers(key), ",").alias("providers"), mf.key_hint(key).alias("hint"))
 
 
-PRICE_JSON = '{"a/gpt-x": {"mode": "chat", "input_cost_per_token": 0.0000025, "output_cost_per_token": 0.00001, "supports_vision": true}, "emb": {"mode": "embedding", "input_cost_per_token": 1}, "bad": {"mode": "chat", "input_cost_per_token": -1, "output_cost_per_token": 1}, "plain": {"mode": "chat", "input_cost_per_token": 0, "output_cost_per_token": 0}}'
-
-
-@query("select 'gpt-x' as model, 2.5::double as input, 10.0::double as output union all select 'plain', 0.0, 0.0")
+@query("""with p as (select *, p_retailprice / 1e9 as cost from part where p_size % 3 <> 0 and p_size % 5 <> 0 and p_size % 7 <> 0)
+select 'm' || p_partkey as model, floor(cost * 1e6 * 1e6 + 0.5) / 1e6 as input, floor(cost * 4 * 1e6 * 1e6 + 0.5) / 1e6 as output, p_size % 2 = 0 as vision from p""")
 def price_file(spark, sf_dir):
-    return catalog.price_file(spark.createDataFrame([(PRICE_JSON,)], "json string")).select("model", "input", "output")
+    """Price files of fifty parts each, in which some do not chat, or lack a price, or have a negative one."""
+    size, cost = F.col("p_size"), F.col("p_retailprice") / 1e9
+    sound = F.when(size % 7 == 0, -cost).when(size % 5 != 0, cost)
+    entry = F.struct(
+        F.when(size % 3 == 0, "embedding").otherwise("chat").alias("mode"), sound.alias("input_cost_per_token"), (cost * 4).alias("output_cost_per_token"), (size % 2 == 0).alias("supports_vision")
+    )
+    key = F.concat(F.when(F.col("p_partkey") % 2 == 0, "maker/m").otherwise("m"), F.col("p_partkey").cast("string"))
+    files = read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, entry)))).alias("json"))
+    return catalog.price_file(files)
 
 
 @query("""with s as (select c_custkey, case when c_mktsegment = 'BUILDING' then 0 else 1 end as pref, c_nationkey from customer), r as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by pref, c_custkey) as n from s) select c_nationkey, c_custkey from r where n <= 3""")

@@ -221,6 +221,12 @@ def payload_caps(spark, sf_dir):
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("with c(event_type, cap) as (values ('click', 10), ('view', 1000000000), ('error', 20)) select event_type, count(*) as n, any_value(cap)::bigint as cap from events join c using (event_type) group by 1 having count(*) > any_value(cap)")
+def payload_over(spark, sf_dir):
+    """Kinds of a payload that is too large, with their caps."""
+    return rel.over_caps(read(spark, sf_dir, "events"), {"click": 10, "view": 1_000_000_000, "error": 20}, "event_type")
+
+
 @query(f"{B} select least(count(*), 5000) as n, count(*) >= 5000 as at_cap from books")
 def cap_warning(spark, sf_dir):
     return rel.cap_warning(books(spark, sf_dir))
