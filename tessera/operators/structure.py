@@ -176,7 +176,24 @@ def text_pages(classified: DataFrame, key: str = "doc_id", n: str = "n") -> Data
     return rest.join(blocks, key, "left")
 
 
-LEAVES = "doc string, ord int, chapter int, chapter_title string, title string, page int"
+def outline_paths(nodes: DataFrame, most_levels: int = 100) -> DataFrame:
+    """doc, path, title, page from rows that name their parents: doc, id, parent, place, title, page.
+
+    ``parent`` is null at the top; siblings are in order of ``place``. Levels are found one
+    after the other by a recursive query. Rows below a parent that is not there, or in a
+    circle, are in no level; more than ``most_levels`` levels raise an error.
+    """
+    spark = nodes.sparkSession
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, -1)  # levels are bounded, rows are not
+    return spark.sql(
+        f"""with recursive t(doc, id, path, title, page) max recursion level {int(most_levels)} as (
+              select doc, id, array(place), title, page from {{nodes}} where parent is null
+              union all
+              select n.doc, n.id, array_append(t.path, n.place), n.title, n.page from t join {{nodes}} n on n.doc = t.doc and n.parent = t.id)
+            select doc, path, title, page from t""",
+        nodes=nodes,
+    )
 
 
 def outline_leaves(nodes: DataFrame) -> DataFrame:
@@ -186,44 +203,32 @@ def outline_leaves(nodes: DataFrame) -> DataFrame:
     them, and its own runs of leaves are chapters too. A node that starts before its
     children opens with a section of its own. Chapters are named by the path of titles,
     except that a leaf at the top names itself.
-    """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = {tuple(p): (t, None if pd.isna(n) else int(n)) for p, t, n in zip(pdf["path"], pdf["title"], pdf["page"], strict=True)}
-        kids: dict[tuple, list[tuple]] = {}
-        for p in sorted(node):
-            kids.setdefault(p[:-1], []).append(p)
-        chapters: list[tuple[str, list]] = []
-
-        def visit(p: tuple, above: str) -> None:
-            title, page = node[p]
-            below = kids.get(p, [])
-            if not below:
-                chapters.append((title, [(title, page)]))
-                return
-            name = f"{above} > {title}" if above else title
-            flat = not any(c in kids for c in below)
-            pages = [node[c][1] for c in (below[:1] if flat else below) if node[c][1] is not None]
-            run = [(f"{title} — Introduction", page)] if page is not None and pages and page < min(pages) else []
-            for c in below:
-                if c in kids:
-                    if run:
-                        chapters.append((name, run))
-                    run = []
-                    visit(c, name)
-                else:
-                    run.append(node[c])
-            if run:
-                chapters.append((name, run))
-
-        for p in kids.get((), []):
-            visit(p, "")
-        doc = pdf["doc"].iloc[0]
-        rows = [(doc, k, name, t, n) for k, (name, sections) in enumerate(chapters, 1) for t, n in sections]
-        out = pd.DataFrame([(d, i, *rest) for i, (d, *rest) in enumerate(rows, 1)], columns=["doc", "ord", "chapter", "chapter_title", "title", "page"])
-        return out.astype({"page": "Int32"})
-
-    return nodes.groupBy("doc").applyInPandas(walk, LEAVES)
+    Titles of ancestors come by an equi join on every prefix of a path, what a node needs
+    of its children by one aggregation; only the numbers need a document's leaves in
+    order. Of rows with one path the greatest title counts; rows below a node that is not
+    there are left out.
+    """
+    up = lambda path: F.slice(path, F.lit(1), F.size(path) - 1)
+    node = nodes.groupBy("doc", "path").agg(F.max(F.struct("title", "page")).alias("x")).select("doc", "path", "x.title", F.col("x.page").cast("int").alias("page"))
+    inner = node.filter(F.size("path") > 1).select("doc", up(F.col("path")).alias("path")).distinct()
+    marked = node.join(inner.withColumn("inner", F.lit(True)), ["doc", "path"], "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    below = marked.filter(F.size("path") > 1).groupBy("doc", up(F.col("path")).alias("path")).agg(F.min_by("page", "path").alias("first"), F.min("page").alias("least"), F.bool_or("inner").alias("deep"))
+    steps = inner.withColumn("d", F.explode(F.sequence(F.lit(1), F.size("path")))).withColumn("step", F.slice("path", F.lit(1), F.col("d")))
+    titles = node.select("doc", F.col("path").alias("step"), "title")
+    names = steps.join(titles, ["doc", "step"]).groupBy("doc", "path").agg(F.array_sort(F.collect_list(F.struct("d", "title"))).alias("t"))
+    names = names.filter(F.size("t") == F.size("path")).select("doc", F.col("path").alias("owner"), F.array_join(F.transform("t", lambda x: x["title"]), " > ").alias("chapter_title"))
+
+    leaves = marked.filter(~F.col("inner")).select("doc", "path", "title", "page", up(F.col("path")).alias("owner"))
+    own = marked.filter("inner and page is not null").join(below, ["doc", "path"]).filter(F.col("page") < F.when(F.col("deep"), F.col("least")).otherwise(F.col("first")))
+    own = own.select("doc", "path", F.concat("title", F.lit(" — Introduction")).alias("title"), "page", F.col("path").alias("owner"))
+    top = leaves.filter(F.size("owner") == 0).withColumn("chapter_title", F.col("title")).withColumn("owner", F.col("path"))
+    rows = leaves.filter(F.size("owner") > 0).unionByName(own).join(names, ["doc", "owner"]).unionByName(top)
+
+    order = Window.partitionBy("doc").orderBy("path")
+    fresh = F.coalesce(F.lag("owner").over(order) != F.col("owner"), F.lit(True)).cast("int")
+    rows = rows.withColumn("fresh", fresh).withColumn("chapter", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return rows.withColumn("ord", F.row_number().over(order)).select("doc", "ord", "chapter", "chapter_title", "title", "page")
 
 
 def page_offset(entries: DataFrame, pages: DataFrame, labels: DataFrame | None = None, first: int = 1, last: int = 150, most_entries: int = 5, most_found: int = 3) -> DataFrame:

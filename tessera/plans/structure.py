@@ -95,6 +95,18 @@ def outline_leaves(spark, sf_dir):
     return st.outline_leaves(c.select(F.col("conv_id").cast("string").alias("doc"), path.alias("path"), F.col("text").alias("title"), (F.col("turn") * 2 + 1).cast("int").alias("page")))
 
 
+@query("""with recursive n as (select conv_id as doc, turn as id, case when turn > 0 then (turn - 1) // 2 end as parent, cast(turn % 2 as int) as place, text as title from conversations),
+t as (select doc, id, [place] as path, title from n where parent is null union all select n.doc, n.id, list_append(t.path, n.place), n.title from t join n on n.doc = t.doc and n.parent = t.id)
+select doc, id, len(path) as depth, list_aggregate(list_transform(path, x -> cast(x as varchar)), 'string_agg', '/') as path, title from t""".replace("x -> cast", "lambda x: cast"))
+def outline_paths(spark, sf_dir):
+    """Turns as a tree, each one below the turn of half its number; a turn whose parent is missing is in no level."""
+    c = read(spark, sf_dir, "conversations")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    nodes = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("id"), parent.alias("parent"), (F.col("turn") % 2).cast("int").alias("place"), F.struct("turn", "text").alias("title"), F.lit(1).alias("page"))
+    t = st.outline_paths(nodes)
+    return t.select("doc", F.col("title.turn").alias("id"), F.size("path").cast("long").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.col("title.text").alias("title"))
+
+
 @query("select page_id, lower(regexp_replace(strip_accents(url), '[^A-Za-z0-9]', '', 'g')) as norm from pages")
 def normalized_urls(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", py.normalize("url").alias("norm"))
