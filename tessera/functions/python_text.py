@@ -11,29 +11,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ENTITIES
-
-_NUMERIC = re.compile(r"&#(?:x([0-9a-f]+)|(\d+));", re.I)
-
-
-def _character(m: re.Match) -> str:
-    n = int(m[1], 16) if m[1] else int(m[2])
-    return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m[0]
-
-
-def decode_one(text: str | None) -> str | None:
-    """Named and numeric references, each once; the ampersand last."""
-    if text is None:
-        return None
-    for name, c in ENTITIES:
-        text = re.sub(f"&{name};", c, text, flags=re.I)
-    return re.sub("&amp;", "&", _NUMERIC.sub(_character, text), flags=re.I)
-
-
-@F.pandas_udf(T.StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(decode_one)
-
 
 def normal(text: str) -> str:
     """Compatibility form, lower case, only a-z and 0-9."""
@@ -68,11 +45,6 @@ def resolve(href: str, folder: str) -> str:
     return posixpath.normpath(posixpath.join(folder, path)) if path else ""
 
 
-@F.pandas_udf(T.StringType())
-def resolve_href(href: pd.Series, folder: pd.Series) -> pd.Series:
-    return pd.Series([resolve(h, d or "") if h is not None else None for h, d in zip(href, folder, strict=True)])
-
-
 def signature_pages(text: str, signatures: list[str], least: int = 50) -> list[str]:
     """A text cut where each page's first words occur, at least ``least`` after the page before.
 

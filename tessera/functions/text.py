@@ -149,6 +149,58 @@ def decode_named(text: Column) -> Column:
     return F.regexp_replace(out, "(?i)&amp;", "&")
 
 
+NUMBER = r"(?is)\A(?:x0*([0-9a-f]{1,6})|0*([0-9]{1,7}));(.*)\z"
+
+
+def decode_numeric(text: Column) -> Column:
+    """References by number, in decimal or hexadecimal; those of no character stay as they are.
+
+    The text is cut at ``&#``; each piece that begins with a number and a semicolon gives its character.
+    """
+
+    def piece(p: Column) -> Column:
+        hexadecimal, decimal = F.regexp_extract(p, NUMBER, 1), F.regexp_extract(p, NUMBER, 2)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("long")
+        fits = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # after a mark of the order of bytes
+        known = (hexadecimal != "") | (decimal != "")
+        return F.when(known & fits, F.concat(character, F.regexp_extract(p, NUMBER, 3))).otherwise(F.concat(F.lit("&#"), p))
+
+    pieces = F.split(text, "&#")
+    decoded = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric references, each once; the ampersand last."""
+    out = reduce(lambda t, e: F.regexp_replace(t, f"(?i)&{e[0]};", e[1]), ENTITIES, text)
+    return F.regexp_replace(decode_numeric(out), "(?i)&amp;", "&")
+
+
+def resolve_href(href: Column, folder: Column) -> Column:
+    """A path in a package: no fragment, percent-decoded where that gives valid text, normalised from ``folder``.
+
+    A reference of a fragment alone, or an empty one, is empty.
+    """
+    bare = F.split(href, "#")[0]
+    decoded = F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    valid = ~bare.rlike("%(?![0-9a-fA-F]{2})") & (F.contains(bare, F.lit("\ufffd")) | ~F.contains(decoded, F.lit("\ufffd")))
+    path = F.when(valid, decoded).otherwise(bare)
+    root = F.startswith(path, F.lit("/"))
+    folder = F.coalesce(folder, F.lit(""))
+    joined = F.when(root | (folder == ""), path).otherwise(F.concat(folder, F.lit("/"), path))
+    root = F.startswith(joined, F.lit("/"))
+
+    def step(done: Column, part: Column) -> Column:
+        back = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+        up = F.when(back, F.slice(done, F.lit(1), F.size(done) - 1)).when(root, done).otherwise(F.array_append(done, part))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step)
+    normal = F.concat(F.when(root, "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(path == "", "").when(normal == "", ".").otherwise(normal)
+
+
 BLOCK = "p|div|li|h[1-6]|blockquote|section|article"
 
 

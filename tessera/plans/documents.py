@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import python_text as py
 from ..functions import text as tx
 from ..operators import fuzzy
 from ..operators import structure as st
@@ -258,4 +257,4 @@ def decoded_entities(spark, sf_dir):
     """Named references, numeric ones in decimal and in hexadecimal; the ampersand last."""
     p = read(spark, sf_dir, "pages")
     coded = F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("&nbsp;&lt;&#8364;&gt;&#32;&#xe9;"))
-    return p.select("page_id", py.decode_entities(coded).alias("plain"))
+    return p.select("page_id", tx.decode_entities(coded).alias("plain"))

@@ -156,7 +156,7 @@ def resolved_hrefs(spark, sf_dir):
     """Percent-encoded relative references with a fragment, from a folder beside the target."""
     p = read(spark, sf_dir, "pages")
     href = F.concat(F.lit("../x/../"), F.col("page_id").cast("string"), F.lit("%20a.xhtml#top"))
-    return p.select("page_id", py.resolve_href(href, F.lit("OEBPS/nav")).alias("path"))
+    return p.select("page_id", tx.resolve_href(href, F.lit("OEBPS/nav")).alias("path"))
 
 
 @query("select p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) || 'a1b2' as norm from part")

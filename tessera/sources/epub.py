@@ -140,11 +140,10 @@ def readable(chapters_: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     book's, or how the book's begins, else "Chapter" and the number. The numbers count
     what is left of a book, in one window a book.
     """
-    from ..functions import python_text as py
     from ..functions import text as tx
 
     source = F.col("html")
-    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(source, py.decode_entities)).withColumn("heading", tx.xhtml_title(source, py.decode_entities))
+    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(source, tx.decode_entities)).withColumn("heading", tx.xhtml_title(source, tx.decode_entities))
     out = out.filter(F.length("text") >= least).drop("html").withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
     own = F.when(~F.startswith(F.lower(tx.trim(F.col("title"))), F.lower(tx.trim(F.col("heading")))), tx.trim(F.col("heading")))
     return out.withColumn("chapter_title", F.coalesce(F.nullif(tx.trim(F.col("toc_title")), F.lit("")), own, F.concat(F.lit("Chapter "), F.col("number").cast("string"))))

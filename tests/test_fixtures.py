@@ -141,7 +141,7 @@ def test_outline(spark, total, nodes, sections, chapters):
 )
 def test_xhtml(spark, html, want):
     df = spark.createDataFrame([(html,)], "html string")
-    assert df.select(tx.xhtml_text(F.col("html"), py.decode_entities)).collect()[0][0] == want
+    assert df.select(tx.xhtml_text(F.col("html"), tx.decode_entities)).collect()[0][0] == want
 
 
 def test_xhtml_titles(spark):
