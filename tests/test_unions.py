@@ -86,3 +86,16 @@ def test_one_book_of_many_ranges_is_split(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k int, a int, b int")
     assert iv.union_measure(df, ["k"], "a", "b").count() == 0 == iv.overlapping_keys(df, "k", "a", "b").count()
+
+
+def test_overlaps_of_short_and_long_ranges(spark):
+    """Every pair once, whatever the lengths; one range of a billion pages costs some thousand rows."""
+    rng = random.Random(4)
+    made = lambda n: [(rng.randint(0, 3), k, a, a + rng.choice([-2, 0, 3, 31, 32, 500, 131_071, 131_072, 131_073, 900_000])) for k in range(n) for a in [rng.randint(-1000, 400_000)]]
+    old, new = made(120), made(120)
+    df = lambda rows, x, y: spark.createDataFrame(rows, f"k int, {x}no int, {x} long, {y} long")
+    got = sorted((r["ano"], r["cno"], r["from"], r["to"]) for r in iv.overlaps(df(old, "a", "b"), df(new, "c", "d"), "k", ("a", "b"), ("c", "d")).collect())
+    assert got == sorted((i, j, max(a, c), min(b, d)) for k, i, a, b in old for m, j, c, d in new if k == m and a <= b and c <= d and a <= d and c <= b)
+    wide = spark.createDataFrame([(1, 0, 0, 1_000_000_000)], "k int, ano int, a long, b long")
+    few = spark.createDataFrame([(1, 1, 999_999_999, 1_000_000_005), (1, 2, -5, -1), (1, 3, 7, 7)], "k int, cno int, c long, d long")
+    assert sorted((r["cno"], r["from"], r["to"]) for r in iv.overlaps(wide, few, "k", ("a", "b"), ("c", "d")).collect()) == [(1, 999_999_999, 1_000_000_000), (3, 7, 7)]
