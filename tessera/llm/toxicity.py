@@ -15,7 +15,9 @@ that linear weights miss. The model has a fixed size (``BUCKETS`` and ``n_terms`
 bound its broadcast). Every text is scored whole.
 
 The sample: the labelled training rows with the least hashes of their id, for
-inputs of every size. Ids with several labels count as toxic if one is 1.
+inputs of every size. Ids with several labels count as toxic if one is 1; of several
+rows with one id the least text is learned from. Ids may be of any type, and are
+compared as texts unless both tables have whole numbers.
 
 Cases: null and empty texts have no terms and get the score of the constant
 term; a null id is not held out and has no label; without labels of both kinds,
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import cut, small_batches
 from ._text import Block, Roller, blocks, letters, mix
@@ -87,12 +90,14 @@ class Terms:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_rows: int) -> DataFrame:
-    """(y, text) of the sample; at most ``max_rows`` ids, whose broadcast is bounded by that."""
-    one = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1))
-    one = one.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    """(y, text) of the sample: at most ``max_rows`` rows, one an id, which bounds the broadcast and what one task trains on."""
+    numbers = all(isinstance(df.schema[id_col].dataType, T.IntegralType) for df in (docs, labels))
+    own = F.col(f"`{id_col}`").cast("long" if numbers else "string").alias("id")
+    one = labels.filter(F.col("toxic").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col, 3, 1))
+    one = one.groupBy(own).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(sample), "id").select("y", "text")
+    texts = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    return texts.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def _stats(sample: DataFrame) -> DataFrame:
