@@ -144,7 +144,7 @@ class Snapshots:
         return gone
 
 
-def with_snapshot(events: DataFrame, snapshots: Snapshots, read: Callable[[], DataFrame], use: Callable[[DataFrame, DataFrame | None, int], None], query: str, least: int = LEAST, max_age_ms: int = 0) -> DataStreamWriter:
+def with_versions(events: DataFrame, snapshots: Snapshots, read: Callable[[], DataFrame], use: Callable[[DataFrame, DataFrame | None, int], None], query: str, least: int = LEAST, max_age_ms: int = 0) -> DataStreamWriter:
     """Batches of ``events`` with a snapshot of a table each.
 
     Before a batch is tried first, the table is read anew if the current version is

@@ -102,3 +102,20 @@ def outbox_sweep(ticks: DataFrame, read_words: Callable[[], DataFrame], forward:
         forward(state.outbox_due(read_words(), now, limit), batch_id)
 
     return ticks.writeStream.foreachBatch(batch)
+
+
+def with_snapshot(events: DataFrame, read_prices: Callable[[], DataFrame], use: Callable[[DataFrame, DataFrame, int], None], least: int = 50) -> DataStreamWriter:
+    """A static side read anew for each batch; the one before stays while the new one is too small.
+
+    What stays is the frame, as long as the process lives; ``snapshots.with_versions`` keeps a
+    copy of its rows, over restarts too.
+    """
+    kept: list[DataFrame] = []
+
+    def batch(frame: DataFrame, batch_id: int) -> None:
+        new = read_prices()
+        if not kept or new.limit(least).count() >= least:
+            kept[:] = [new]
+        use(frame, kept[0], batch_id)
+
+    return events.writeStream.foreachBatch(batch)

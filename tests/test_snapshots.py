@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming.snapshots import Snapshots, with_snapshot
+from tessera.streaming.snapshots import Snapshots, with_versions
 
 
 def prices(spark, n, cents, source="main"):
@@ -87,7 +87,7 @@ def test_stream_restarts(spark, tmp_path, crash):
     def run(k):
         spark.range(k).write.mode("append").parquet(f"{tmp_path}/in")
         source = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
-        q = with_snapshot(source, s, lambda: prices(spark, *now), use, "billing").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q = with_versions(source, s, lambda: prices(spark, *now), use, "billing").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
         try:
             q.awaitTermination(120)
         except Exception:  # noqa: BLE001
