@@ -44,7 +44,7 @@ def same_rows():
     def text(v):
         if isinstance(v, list | tuple | np.ndarray):
             return "[" + ",".join(map(text, v)) + "]"
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "null"
         if isinstance(v, float | np.floating):
             return repr(round(float(v), 9))
@@ -58,6 +58,8 @@ def same_rows():
         for f in Path(folder).glob("*.parquet"):
             con.execute(f"create view {f.stem} as select * from '{f}'")
         got, want = df.toPandas(), con.execute(sql).df()
+        whole = {c for c, kind in df.dtypes if kind in ("bigint", "int")}  # with nulls, pandas has them as floats
+        got, want = (x.astype({c: "Int64" for c in x.columns if c in whole and x[c].dtype.kind == "f"}) for x in (got, want))
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
 
