@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,26 +50,35 @@ def cut(df: DataFrame, narrow: bool = False, codec: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: folders and names of the tables written so far, in order
-_written: list[tuple[str, str | None]] = []
+class _Written(threading.local):
+    """Folders and names of the tables that this thread has written so far, in order."""
+
+    def __init__(self):
+        self.tables: list[tuple[str, str | None]] = []
+
+
+_written = _Written()
 
 
 def note_written(path: str, table: str | None = None) -> None:
-    _written.append((path, table))
+    _written.tables.append((path, table))
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what is written inside; for work whose result is written out by then."""
-    before = len(_written)
+    """Delete at the end what this thread writes inside; for work whose result is written out by then.
+
+    Work in other threads, such as a second pipeline, keeps its tables.
+    """
+    before = len(_written.tables)
     try:
         yield
     finally:
-        for path, table in _written[before:]:
+        for path, table in _written.tables[before:]:
             if table:
                 spark.sql(f"drop table if exists `{table}`")
             drop(spark, path)
-        del _written[before:]
+        del _written.tables[before:]
 
 
 def drop(spark: SparkSession, url: str) -> None:
@@ -86,7 +96,7 @@ def sweep(spark: SparkSession) -> None:
         if table.name.startswith(TABLES):
             spark.sql(f"drop table if exists `{table.name}`")
     drop(spark, shared_folder(spark))
-    _written.clear()
+    _written.tables.clear()
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:

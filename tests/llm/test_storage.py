@@ -42,3 +42,24 @@ def test_tables_stay_until_they_are_swept(spark):
     assert _files(spark) and _tables(spark)
     _spark.sweep(spark)
     assert not _files(spark) and not _tables(spark)
+
+
+def test_released_leaves_tables_of_other_threads(spark):
+    """Two pieces of work side by side: what the other one has written stays."""
+    import threading
+
+    from tessera.llm._spark import cut, released
+
+    other = []
+    with released(spark):
+        own = cut(spark.range(3))
+        thread = threading.Thread(target=lambda: other.append(cut(spark.range(4))))
+        thread.start()
+        thread.join()
+        assert own.count() == 3
+    assert other[0].count() == 4
+    try:
+        gone = own.count() == 0
+    except Exception:  # noqa: BLE001
+        gone = True
+    assert gone
