@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 import unicodedata
+from functools import lru_cache
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -34,6 +35,7 @@ def title_needles(title: pd.Series) -> pd.Series:
     return title.map(lambda t: needles(t) if t is not None else [])
 
 
+@lru_cache(maxsize=10_000)
 def resolve(href: str, folder: str) -> str:
     """A package path: no fragment, percent-decoded where that is valid, normalised."""
     path = href.split("#")[0]

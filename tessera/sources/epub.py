@@ -34,13 +34,15 @@ def _local(tag: str) -> str:
 
 
 _NAMED = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
+_TEXT_NAME = re.compile(r"\.x?html?$", re.I)
 _XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
 
 
 def _parse(xml: str) -> ET.Element:
     """Well-formed XML in which HTML's names of characters, which XML does not know, may occur."""
     known = lambda m: m[0] if m[1] in _XML_NAMES else html.unescape(m[0])
-    return ET.fromstring(_NAMED.sub(known, xml.lstrip("\ufeff \t\r\n")))
+    xml = xml.lstrip("\ufeff \t\r\n")
+    return ET.fromstring(_NAMED.sub(known, xml) if "&" in xml else xml)
 
 
 def _all(root: ET.Element, name: str) -> list[ET.Element]:
@@ -81,7 +83,7 @@ def toc_titles(xml: str, folder: str) -> dict[str, str]:
 
 
 def _is_text(item: ET.Element) -> bool:
-    return bool(re.search("x?html", item.get("media-type", ""), re.I) or re.search(r"\.x?html?$", item.get("href", ""), re.I))
+    return "html" in item.get("media-type", "").lower() or bool(_TEXT_NAME.search(item.get("href", "")))
 
 
 def read_package(content: bytes) -> tuple[str, str | None, list[tuple[str, str | None, str]]]:
@@ -98,11 +100,14 @@ def read_package(content: bytes) -> tuple[str, str | None, list[tuple[str, str |
         if not opf:
             raise ValueError("no path of a package in META-INF/container.xml")
         folder = posixpath.dirname(opf)
-        package = _parse(get(opf))
-        title, author = (next(iter(map(_text, _all(package, n))), "") for n in ("title", "creator"))
-        listed = [e for e in _all(package, "item") if e.get("id") and e.get("href")]
+        parts: dict[str, list[ET.Element]] = {n: [] for n in ("title", "creator", "item", "spine")}
+        for e in _parse(get(opf)).iter():
+            if isinstance(e.tag, str) and (name := _local(e.tag)) in parts:
+                parts[name].append(e)
+        title, author = (_text(parts[n][0]) if parts[n] else "" for n in ("title", "creator"))
+        listed = [e for e in parts["item"] if e.get("id") and e.get("href")]
         items = {e.get("id"): e for e in listed}
-        spine = next(iter(_all(package, "spine")), None)
+        spine = parts["spine"][0] if parts["spine"] else None
         named = spine.get("toc") if spine is not None else None
         toc = items.get(named) if named else next((e for e in listed if "nav" in re.findall(r"\w+", e.get("properties", ""))), None)
         where = resolve(toc.get("href"), folder) if toc is not None else ""
@@ -138,13 +143,15 @@ def readable(chapters_: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
     The title is that of the table of contents, else the text's own unless that is the
     book's, or how the book's begins, else "Chapter" and the number. The numbers count
-    what is left of a book, in one window a book.
+    what is left of a book, in one window a book; short chapters go after it, as a filter
+    before it would read every text twice.
     """
     from ..functions import text as tx
 
-    source = F.col("html")
-    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(source, tx.decode_entities)).withColumn("heading", tx.xhtml_title(source, tx.decode_entities))
-    out = out.filter(F.length("text") >= least).drop("html").withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
+    source, kept = F.col("html"), F.length("text") >= least
+    out = chapters_.filter("error is null").withColumn("text", tx.xhtml_text(source, tx.decode_entities)).withColumn("heading", tx.xhtml_title(source, tx.decode_entities)).drop("html")
+    upto = Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("number", F.count_if(kept).over(upto).cast("int")).filter(kept)
     own = F.when(~F.startswith(F.lower(tx.trim(F.col("title"))), F.lower(tx.trim(F.col("heading")))), tx.trim(F.col("heading")))
     return out.withColumn("chapter_title", F.coalesce(F.nullif(tx.trim(F.col("toc_title")), F.lit("")), own, F.concat(F.lit("Chapter "), F.col("number").cast("string"))))
 

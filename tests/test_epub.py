@@ -66,3 +66,20 @@ def test_packages():
 def test_broken_archives_give_one_row(spark, files):
     rows = epub.chapters(spark.createDataFrame([("x.epub", bytearray(archive(**files)))], "path string, content binary")).collect()
     assert len(rows) == 1 and rows[0]["error"] and rows[0]["html"] is None
+
+
+def test_archives_are_dealt_over_tasks(spark, sf):
+    """A small table in one file is one split, and its archives took one task; now as many as a shuffle has."""
+    from tessera.plans import archives
+
+    files = archives._files(spark, sf)
+    assert files.rdd.getNumPartitions() == 4
+    assert files.select("path").distinct().count() == files.count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
+def test_texts_are_read_once(spark):
+    """The filter on the length of a text stays above the window, so that no text is made twice."""
+    files = spark.createDataFrame([("0.epub", bytearray(package("B", "A", CHAPTERS)))], "path string, content binary")
+    plan = epub.readable(epub.chapters(files))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window") :]
+    assert "regexp_replace" in below and not [x for x in below.splitlines() if "Filter" in x and "regexp_replace" in x]
