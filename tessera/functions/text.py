@@ -23,12 +23,12 @@ QUOTE = (r"^\s{4,}", '^["“]', r"^—\s*[A-Z]")
 RICH = r"(?m)\$.*\$|\\frac|\\sum|\\int|\\sqrt|\\begin\{|\\end\{|\|[-+|]+\||[│┃┆┊]|^\s*[-|]+\s*$"
 TABLE = r"(?m)(\t.*){2,}|(\s{2,}\S+){3,}"
 
-EDGE_SPACE = r"\A\s+|\s+\z"
+EDGE_SPACE = " \t\n\v\f\r"  # what \s stands for in patterns
 
 
 def trim(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(EDGE_SPACE))
 
 
 def collapse(text: Column) -> Column:
@@ -63,7 +63,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def subheading(line: Column) -> Column:
@@ -76,16 +76,34 @@ def subheading(line: Column) -> Column:
     )
 
 
-def line_kind(line: Column, after_header: Column) -> Column:
-    """blank, junk, header, figure, list, footnote, subheading, blockquote, introduction or body."""
-    t = trim(line)
+#: what a line is before and after the first header, by what it looks like alone; other kinds do not change
+CONTEXT = {"subheading or quote": ("blockquote", "subheading"), "subheading": ("introduction", "subheading"), "body": ("introduction", "body")}
+
+
+def line_look(line: Column, trimmed: Column) -> Column:
+    """blank, junk, header, figure, list, footnote, blockquote or a key of ``CONTEXT``.
+
+    ``trimmed`` is a column that holds ``trim(line)``, as it is looked at by most patterns.
+    """
+    t, quote = trimmed, any_of(line, QUOTE)
     return (
         F.when(t == "", "blank").when(any_of(t, JUNK), "junk").when(any_of(t, HEADER), "header").when(any_of(t, CAPTION), "figure")
-        .when(any_of(line, LIST_ITEM), "list").when(any_of(t, FOOTNOTE), "footnote").when(after_header & subheading(t), "subheading")
-        .when(any_of(line, QUOTE), "blockquote").when(~after_header, "introduction").otherwise("body")
+        .when(any_of(line, LIST_ITEM), "list").when(any_of(t, FOOTNOTE), "footnote")
+        .when(subheading(t), F.when(quote, "subheading or quote").otherwise("subheading")).when(quote, "blockquote").otherwise("body")
     )
 
 
+def in_context(look: Column, after_header: Column) -> Column:
+    """The kind of a line from its ``line_look``."""
+    of = lambda kinds: F.when(after_header, kinds[1]).otherwise(kinds[0])
+    return reduce(lambda rest, k: F.when(look == k, of(CONTEXT[k])).otherwise(rest), CONTEXT, look)
+
+
+def line_kind(line: Column, after_header: Column) -> Column:
+    """blank, junk, header, figure, list, footnote, subheading, blockquote, introduction or body."""
+    return in_context(line_look(line, trim(line)), after_header)
+
+
 def is_header(line: Column) -> Column:
     t = trim(line)
     return (t != "") & ~any_of(t, JUNK) & any_of(t, HEADER)

@@ -167,8 +167,8 @@ def text_pages(classified: DataFrame, key: str = "doc_id", n: str = "n") -> Data
     joined = body.groupBy(key, "run", "kind").agg(tx.dehyphenate(in_order(tx.trim(F.col("line")))).alias("text"))
     blocks = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("paragraphs"))
     t = tx.trim(F.col("line"))
-    of = lambda kind, c: in_order(F.when(F.col("kind") == kind, c))
-    some = lambda kind, c: F.filter(of(kind, c), lambda x: x.isNotNull())
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.struct(F.col(n).alias("n"), c.alias("c")))  # noqa: E731  null, which no list keeps, for lines of another kind
+    some = lambda kind, c: F.filter(F.transform(F.array_sort(F.collect_list(of(kind, c))), lambda x: x["c"]), lambda x: x.isNotNull())
     rest = classified.groupBy(key).agg(
         F.nullif(F.array_join(some("header", t), " | "), F.lit("")).alias("header"), F.min(F.when(F.col("kind") == "header", tx.header_level(t))).alias("level"),
         some("list", tx.list_item(F.col("line"))).alias("lists"), some("figure", tx.caption(t)).alias("figures"), some("footnote", tx.footnote(t)).alias("footnotes"),

@@ -232,3 +232,22 @@ def test_snapshot_is_read_anew(spark, tmp_path):
     q = streams.with_snapshot(ticks, lambda: lists.pop(0), lambda batch, prices, batch_id: seen.append((batch.count(), prices.count()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert seen == [(2, 60), (2, 60), (2, 80)]
+
+
+def test_patterns_of_lines_are_matched_before_the_shuffle(spark, sf):
+    """Above the exchange only names of kinds are read: no pattern, and where the text is not asked for, no line."""
+    from tessera.plans import documents
+
+    plan = documents.block_runs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(doc_id", 1)
+    assert "RLIKE" in below and not any(x in above for x in ("RLIKE", "regexp_replace", "line#"))
+
+
+def test_kinds_before_and_after_a_header(spark):
+    """Every look of a line, trimmed of all white space, in both contexts."""
+    lines = ["", " \t\v\f\r", "12", "Chapter IV", "Figure 3: a", "- item", "* note", "The Great House", '"The Great House', "    quoted text here", "some plain text.", "\x0bPage 3\x0c"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    rows = df.select(tx.line_kind(F.col("line"), F.lit(False)).alias("a"), tx.line_kind(F.col("line"), F.lit(True)).alias("b")).collect()
+    same = ["blank", "blank", "junk", "header", "figure", "list", "footnote"]
+    assert [r["a"] for r in rows] == [*same, "introduction", "blockquote", "blockquote", "introduction", "junk"]
+    assert [r["b"] for r in rows] == [*same, "subheading", "blockquote", "blockquote", "body", "junk"]
