@@ -158,22 +158,24 @@ def text_pages(classified: DataFrame, key: str = "doc_id", n: str = "n") -> Data
     Body lines make paragraphs of one kind; a blank line ends one, a line of another kind
     too, and a subheading stands alone. Headers are joined, the least level counts.
     """
-    order = Window.partitionBy(key).orderBy(n)
-    apart = F.col("kind").isin("junk", "header", "figure", "list", "footnote")
-    body = classified.filter(~apart)
-    new = (F.col("kind") != F.lag("kind", 1, "blank").over(order)) | (F.col("kind") == "subheading")
-    body = body.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("kind <> 'blank'")
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), c.alias("c")))), lambda x: x["c"])
-    joined = body.groupBy(key, "run", "kind").agg(tx.dehyphenate(in_order(tx.trim(F.col("line")))).alias("text"))
-    blocks = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("paragraphs"))
-    t = tx.trim(F.col("line"))
-    of = lambda kind, c: F.when(F.col("kind") == kind, F.struct(F.col(n).alias("n"), c.alias("c")))  # noqa: E731  null, which no list keeps, for lines of another kind
-    some = lambda kind, c: F.filter(F.transform(F.array_sort(F.collect_list(of(kind, c))), lambda x: x["c"]), lambda x: x.isNotNull())
-    rest = classified.groupBy(key).agg(
-        F.nullif(F.array_join(some("header", t), " | "), F.lit("")).alias("header"), F.min(F.when(F.col("kind") == "header", tx.header_level(t))).alias("level"),
-        some("list", tx.list_item(F.col("line"))).alias("lists"), some("figure", tx.caption(t)).alias("figures"), some("footnote", tx.footnote(t)).alias("footnotes"),
+    order, kind = Window.partitionBy(key).orderBy(n), F.col("kind")
+    flows = ~kind.isin("junk", "header", "figure", "list", "footnote")
+    before = F.last(F.when(flows, kind), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = flows & ((kind != F.coalesce("before", F.lit("blank"))) | (kind == "subheading"))
+    run = F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = classified.withColumn("before", before).withColumn("run", run).withColumn("run", F.when(flows & (kind != "blank"), F.col("run")))
+    # one pass: lines of a run, and those of each kind apart from runs, are a row; then a page is
+    held = F.when(~kind.isin("blank", "junk"), F.struct(F.col(n).alias("n"), F.col("line").alias("c")))
+    parts = rows.groupBy(key, "run", "kind").agg(F.transform(F.array_sort(F.collect_list(held)), lambda x: x["c"]).alias("lines"))
+    block = F.when(F.col("run").isNotNull(), F.struct("run", "kind", tx.dehyphenate(F.transform("lines", tx.trim)).alias("text")))
+    names = ("header", "list", "figure", "footnote")
+    out = parts.groupBy(key).agg(F.array_sort(F.collect_list(block)).alias("blocks"), *(F.first(F.when(kind == k, F.col("lines")), ignorenulls=True).alias(k) for k in names))
+    some = lambda name, f: F.coalesce(F.transform(name, f), F.array())
+    return out.select(
+        key, F.nullif(F.array_join(F.transform("header", tx.trim), " | "), F.lit("")).alias("header"), F.array_min(F.transform("header", lambda x: tx.header_level(tx.trim(x)))).alias("level"),
+        some("list", tx.list_item).alias("lists"), some("figure", lambda x: tx.caption(tx.trim(x))).alias("figures"), some("footnote", lambda x: tx.footnote(tx.trim(x))).alias("footnotes"),
+        F.when(F.size("blocks") > 0, F.transform("blocks", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text")))).alias("paragraphs"),
     )
-    return rest.join(blocks, key, "left")
 
 
 def outline_paths(nodes: DataFrame, most_levels: int = 100) -> DataFrame:

@@ -251,3 +251,11 @@ def test_kinds_before_and_after_a_header(spark):
     same = ["blank", "blank", "junk", "header", "figure", "list", "footnote"]
     assert [r["a"] for r in rows] == [*same, "introduction", "blockquote", "blockquote", "introduction", "junk"]
     assert [r["b"] for r in rows] == [*same, "subheading", "blockquote", "blockquote", "body", "junk"]
+
+
+def test_pages_of_texts_read_their_lines_once(spark, sf):
+    """Paragraphs and lists come from one pass over the lines: one scan and one exchange."""
+    from tessera.plans import documents
+
+    plan = documents.text_pages(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
