@@ -111,17 +111,23 @@ def covered(sections: DataFrame, pages: DataFrame, keys: list[str], text: str) -
     ``sections`` has start_page and end_page (null: one page); ``pages`` has page and the
     text. An empty page counts as there and adds nothing; sections of one key are one. Each
     range of pages is read once, however many sections have it, and only a range without
-    a gap carries its texts.
+    a gap carries its texts. Sections of one range, most of them, meet their text after the
+    shuffle by key; only the texts of a key with several ranges are shuffled.
     """
     last = F.greatest("start_page", F.coalesce("end_page", "start_page"))
     wide = sections.filter("start_page is not null").select(*keys, F.col("start_page").alias("__a"), last.alias("__b"))
     ranges = wide.select("__a", "__b").distinct().withColumn("page", F.explode(F.sequence("__a", "__b")))
     parts = F.collect_list(F.when(F.coalesce(F.col(text), F.lit("")) != "", F.struct("page", F.col(text).alias("t"))))
-    read = ranges.join(pages, "page", "left").groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).isNull()).alias("gone"), parts.alias("parts"))
-    read = read.select(F.col("__a").alias("__ra"), F.col("__b").alias("__rb"), "n", "gone", F.when(F.col("gone") == 0, F.col("parts")).alias("parts"))
-    met = wide.join(read, (F.col("__a") == F.col("__ra")) & (F.col("__b") == F.col("__rb")))
-    out = met.groupBy(*keys).agg(F.sum("n").alias("n_pages"), F.sum("gone").alias("n_missing"), F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
-    return out.withColumn("text", F.when(F.col("n_missing") == 0, F.array_join(F.transform("parts", lambda x: x["t"]), "\n\n"))).drop("parts")
+    joined = lambda p: F.array_join(F.transform(p, lambda x: x["t"]), "\n\n")
+    read = ranges.join(pages, "page", "left").groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col(text).isNull()).alias("n_missing"), F.sort_array(parts).alias("parts"))
+    read = read.select(F.col("__a").alias("__ra"), F.col("__b").alias("__rb"), "n_pages", "n_missing", F.when(F.col("n_missing") == 0, F.col("parts")).alias("parts"))
+    meets = (F.col("__a") == F.col("__ra")) & (F.col("__b") == F.col("__rb"))
+    by_key = wide.groupBy(*keys).agg(F.collect_list(F.struct("__a", "__b")).alias("__r"))
+    single = by_key.filter(F.size("__r") == 1).select(*keys, F.col("__r")[0]["__a"].alias("__a"), F.col("__r")[0]["__b"].alias("__b"))
+    single = single.join(read.withColumn("text", joined("parts")).drop("parts"), meets).select(*keys, "n_pages", "n_missing", "text")
+    several = by_key.filter(F.size("__r") > 1).select(*keys, F.explode("__r").alias("__r")).select(*keys, "__r.__a", "__r.__b").join(read, meets)
+    several = several.groupBy(*keys).agg(F.sum("n_pages").alias("n_pages"), F.sum("n_missing").alias("n_missing"), F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
+    return single.unionByName(several.select(*keys, "n_pages", "n_missing", F.when(F.col("n_missing") == 0, joined("parts")).alias("text")))
 
 
 def carry_over(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -259,3 +259,15 @@ def test_pages_of_texts_read_their_lines_once(spark, sf):
 
     plan = documents.text_pages(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_texts_of_single_ranges_are_not_shuffled(spark):
+    """A key of one range meets its text after the shuffle by key; keys of several, with a gap, null or reversed, stay right."""
+    pages = spark.createDataFrame([(1, "a"), (2, ""), (3, "c"), (5, "e")], "page int, md string")
+    rows = [(1, 1, 3), (2, 1, 1), (2, 3, 3), (2, 1, 2), (3, 3, 5), (4, 5, None), (5, None, 2), (6, 3, 1), (None, 5, 5), (7, 3, 4), (7, 1, 1)]
+    out = intervals.covered(spark.createDataFrame(rows, "k int, start_page int, end_page int"), pages, ["k"], "md")
+    got = {r["k"]: (r["n_pages"], r["n_missing"], r["text"]) for r in out.collect()}
+    assert got == {1: (3, 0, "a\n\nc"), 2: (4, 0, "a\n\na\n\nc"), 3: (3, 1, None), 4: (1, 0, "e"), 6: (1, 0, "c"), None: (1, 0, "e"), 7: (3, 1, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    single = plan[: plan.index("= 1)")]
+    assert "Union" in single and "Aggregate" not in single
