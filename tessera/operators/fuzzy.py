@@ -34,16 +34,20 @@ def _code(gram: Column) -> Column:
     return F.shiftleft(point(1), 42) + F.shiftleft(point(2), 21) + point(3)
 
 
-def members(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """key, id of each title with a trigram; titles of one key have the same trigrams."""
-    rows = df.select(F.col(id_col).alias("id"), tx.trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
-    return rows.select(_key(F.col("grams")).alias("key"), "id")
+def _titles(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """title, id (the least), copies, grams, key: one row a distinct title, so that copies are cut into trigrams once.
+
+    Titles without a trigram are still there: a filter on them would be pushed below the grouping, to every copy.
+    """
+    rows = df.groupBy(F.col(text).alias("title")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("grams", tx.trigrams(F.col("title"))).withColumn("key", _key(F.col("grams")))
 
 
 def gram_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """key, id (the least), copies, grams (as numbers): one row a class of titles."""
-    rows = df.select(F.col(id_col).alias("id"), tx.trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
-    return rows.groupBy(_key(F.col("grams")).alias("key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.transform("grams", _code)).alias("grams"))
+    rows = _titles(df, id_col, text)
+    sets = rows.groupBy("key").agg(F.min("id").alias("id"), F.sum("copies").alias("copies"), F.first(F.transform("grams", _code)).alias("grams"))
+    return sets.filter(F.size("grams") > 0)
 
 
 def _in_order(sets: DataFrame, seen: DataFrame) -> DataFrame:
@@ -54,6 +58,12 @@ def _in_order(sets: DataFrame, seen: DataFrame) -> DataFrame:
     return sets.drop("grams").join(order, "key").withColumn("grams", F.col("order.gram")).drop("order")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has, however small it is: what follows makes many rows of one."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _prefixes(sets: DataFrame, above: float, tag: str) -> DataFrame:
     """A row for each gram of a set that a like set must share one of."""
     n = F.size("grams")
@@ -91,9 +101,17 @@ def similar_titles(df: DataFrame, id_col: str, text: str, above: float = ABOVE)
     return pairs.select(pick("a_id", "b_id").alias("id"), pick("a_copies", "b_copies").alias("copies"), pick("b_id", "a_id").alias("other"), pick("b_copies", "a_copies").alias("other_copies"), "rank")
 
 
-def match_titles(wanted: DataFrame, catalog: DataFrame, id_col: str, text: str, above: float = ABOVE) -> DataFrame:
-    """wanted, found, rank: every wanted title with every one of the catalogue that is like it."""
-    pairs = similar_sets(gram_sets(wanted, id_col, text), gram_sets(catalog, id_col, text), above).select("a_key", "b_key", "rank")
-    mine = members(wanted, id_col, text).select(F.col("key").alias("a_key"), F.col("id").alias("wanted"))
-    theirs = members(catalog, id_col, text).select(F.col("key").alias("b_key"), F.col("id").alias("found"))
-    return pairs.join(mine, "a_key").join(theirs, "b_key").select("wanted", "found", "rank")
+def match_titles(wanted: DataFrame, catalog: DataFrame, id_col: str, text: str, above: float = ABOVE, digits: int | None = None) -> DataFrame:
+    """wanted, found, rank: every wanted title with every one of the catalogue that is like it.
+
+    With ``digits`` ranks are rounded, as doubles; that is done once a pair of titles. Only the
+    last join makes a row of each pair of ids: by the size of its tables it would be one task,
+    so wanted ids with the titles they are like are dealt out before it.
+    """
+    pairs = similar_sets(gram_sets(wanted, id_col, text), gram_sets(catalog, id_col, text), above)
+    rank = F.col("rank") if digits is None else F.round(F.col("rank").cast("double"), digits)
+    title = lambda df, side: _titles(df, id_col, text).select(F.col("key").alias(f"{side}_key"), F.col("title").alias(f"{side}_title"))
+    ids = lambda df, side, name: df.select(F.col(text).alias(f"{side}_title"), F.col(id_col).alias(name))
+    named = pairs.select("a_key", "b_key", rank.alias("rank")).join(title(wanted, "a"), "a_key").join(title(catalog, "b"), "b_key")
+    rows = named.join(ids(wanted, "a", "wanted"), "a_title").select("b_title", "wanted", "rank")
+    return _dealt(rows, "wanted", "b_title").join(ids(catalog, "b", "found"), "b_title").select("wanted", "found", "rank")

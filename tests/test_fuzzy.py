@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import fuzzy
 
@@ -74,3 +75,21 @@ def test_copies_are_compared_once(spark):
     """50,000 copies of two titles: two classes, one pair."""
     df = spark.range(50_000).selectExpr("id", "if(id % 2 = 0, 'the old sea', 'the old seas') as t")
     assert [tuple(r)[:4] for r in fuzzy.similar_titles(df, "id", "t").collect()] == [(0, 25_000, 1, 25_000)]
+
+
+def test_matches_of_copies_are_made_by_several_tasks(spark):
+    """20 wanted copies of a title and 400 of the catalogue, in one file's partition: all pairs, dealt out."""
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "if(id = 7, null, 'The sea') as t")
+    out = fuzzy.match_titles(df.filter("id % 20 = 0"), df, "id", "t", 0.7, digits=5)
+    assert out.schema["rank"].dataType.typeName() == "double" and out.distinct().count() == 20 * 399
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_copies_are_cut_into_trigrams_once(spark):
+    """Below the grouping by title nothing is lowered or split, not even for a filter."""
+    df = spark.createDataFrame([(1, "a sea"), (2, "a sea"), (3, "--"), (4, None)], "id long, t string")
+    sets = fuzzy.gram_sets(df, "id", "t")
+    assert [(r["id"], r["copies"]) for r in sets.collect()] == [(1, 2)]
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Aggregate ") :].split("\n", 1)[1]
+    assert "lower(" in plan and "lower(" not in below
