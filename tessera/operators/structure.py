@@ -71,20 +71,35 @@ def classify_lines(lines_: DataFrame, layout: Layout = Layout()) -> DataFrame:
     Footnotes count from a little above the foot band, but only those inside it leave
     the body. A line in a band with none of the page's dominant font is no body either.
     """
-    per = Window.partitionBy("doc", "page")
-    head, foot = F.col("page_height") * layout.header_band, F.col("page_height") * (1 - layout.footer_band)
-    df = lines_.withColumn("median", F.median("height").over(per)).withColumn("in_head", F.col("y") < head).withColumn("in_foot", F.col("y") > foot)
-    middle = df.filter((F.col("y") > head) & (F.col("y") < foot)).select("doc", "page", "line", F.posexplode(F.arrays_zip("fonts", "chars")).alias("pos", "z"))
-    fonts = middle.filter(F.coalesce("z.fonts", F.lit("")) != "").groupBy("doc", "page", "z.fonts").agg(F.sum("z.chars").alias("n"), F.min(F.struct("line", "pos")).alias("first"))
-    main = fonts.groupBy("doc", "page").agg(F.min(F.struct(-F.col("n"), "first", "fonts")).alias("m")).select("doc", "page", F.col("m.fonts").alias("main_font"))
-    df = df.join(main, ["doc", "page"], "left")
+    foot_of = lambda height: height * (1 - layout.footer_band)
+    in_middle = lambda x: (x["y"] > x["page_height"] * layout.header_band) & (x["y"] < foot_of(x["page_height"]))
+    note = lambda y, height, page_height, text: (height < F.col("median") * layout.footnote) & (y > foot_of(page_height) * 0.85) & text.rlike(NOTE)
+    named = lambda **x: F.named_struct(*(y for k, v in x.items() for y in (F.lit(k), v)))
+    # what a page says of its lines is found once a page, whose lines are one row for that
+    line = F.struct(*(c for c in lines_.columns if c not in ("doc", "page")))
+    df = lines_.groupBy("doc", "page").agg(F.median("height").alias("median"), F.collect_list(line).alias("every"))
+    known = F.col("doc").isNotNull() & F.col("page").isNotNull()  # else the page has no main font
+    each = F.transform(F.filter("every", lambda x: known & in_middle(x)), lambda x: F.transform(x["fonts"], lambda f, at: named(font=f, n=F.get(x["chars"], at).cast("long"), line=x["line"], at=at)))
+    df = df.withColumn("items", F.filter(F.flatten(each), lambda z: F.coalesce(z["font"], F.lit("")) != ""))
+
+    def weight(font: Column) -> Column:
+        """What decides between fonts: more characters, then the first place."""
+        its = F.filter("items", lambda z: z["font"] == font)
+        n = F.aggregate(its, F.lit(None).cast("long"), lambda a, z: F.coalesce(a + z["n"], a, z["n"]))
+        return named(n=-n, first=F.array_min(F.transform(its, lambda z: named(line=z["line"], at=z["at"]))), font=font)
+
+    main = F.array_min(F.transform(F.array_distinct(F.transform("items", lambda z: z["font"])), weight))["font"]
+    has_notes = F.exists("every", lambda x: note(x["y"], x["height"], x["page_height"], x["text"]))
+    df = df.select("doc", "page", "median", "every", main.alias("main_font"), has_notes.alias("has_notes"))  # before the lines are apart, else once a line
+    df = df.withColumn("x", F.explode("every")).select("doc", "page", "x.*", "median", "main_font", "has_notes")
+    head, foot = F.col("page_height") * layout.header_band, foot_of(F.col("page_height"))
+    df = df.withColumn("in_head", F.col("y") < head).withColumn("in_foot", F.col("y") > foot)
     text = F.col("text")
     strange = F.col("main_font").isNotNull() & ~F.array_contains("fonts", F.col("main_font")) & (F.length(text) < 100)
     larger, small = F.col("height") > F.col("median") * layout.heading, F.col("height") < F.col("median") * layout.footnote
     header = F.col("in_head") & (tx.any_of(text, HEAD) | larger | strange)
     footer = F.col("in_foot") & (tx.any_of(text, FOOT) | tx.any_of(text, HEAD) | ((F.length(text) < 80) & (F.col("height") <= F.col("median"))) | strange)
-    noted = small & (F.col("y") > foot * 0.85) & text.rlike(NOTE)
-    df = df.withColumn("noted", noted).withColumn("has_notes", F.max("noted").over(per))
+    df = df.withColumn("noted", note(F.col("y"), F.col("height"), F.col("page_height"), text))
     kind = F.when(header, "header").when(F.col("has_notes") & F.col("in_foot") & small, "footnote").when(footer, "footer").otherwise("body")
     return df.withColumn("kind", kind).withColumn("heading", (kind == "body") & larger).drop("in_head", "in_foot", "has_notes")
 
@@ -115,19 +130,23 @@ def merge_pages(paragraphs_: DataFrame) -> DataFrame:
     whose only paragraph has gone has nothing to add to, so that in a row of such pages
     every other one goes: a count within the row, and no page waits for another.
     """
-    both = F.struct("text", "heading")
-    pages = paragraphs_.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"), F.min_by(both, "paragraph").alias("head"), F.max_by(both, "paragraph").alias("tail"), F.max("paragraph").alias("last"))
+    every = F.sort_array(F.collect_list(F.struct("paragraph", "text", "heading")))
+    pages = paragraphs_.filter("doc is not null and page is not null").groupBy("doc", "page").agg(every.alias("every"))
+    first, last = F.col("every")[0], F.element_at("every", -1)
+    # all that a page's place among others takes of its text is found before the windows; a page goes through them as one row
+    opens = ~first["heading"] & (first["text"] != "") & first["text"].rlike("^[a-z]")
+    ends_open = ~last["heading"] & (last["text"] != "") & ~last["text"].rlike(r'[.!?:;"”]\z')
+    pages = pages.select("doc", "page", "every", opens.alias("opens"), ends_open.alias("ends_open"), (F.size("every") == 1).alias("single"))
     order = Window.partitionBy("doc").orderBy("page")
-    before = F.lag("tail").over(order)
-    runs_on = ~before["heading"] & ~F.col("head.heading") & (F.col("head.text") != "") & (before["text"] != "") & ~before["text"].rlike(r'[.!?:;"”]\z') & F.col("head.text").rlike("^[a-z]")
-    pages = pages.withColumn("may", F.coalesce(runs_on, F.lit(False)))
-    pages = pages.withColumn("link", F.col("may") & F.coalesce(F.lag("may").over(order) & (F.lag("n").over(order) == 1), F.lit(False)))
+    pages = pages.withColumn("may", F.coalesce(F.lag("ends_open").over(order) & F.col("opens"), F.lit(False)))
+    pages = pages.withColumn("link", F.col("may") & F.coalesce(F.lag("may").over(order) & F.lag("single").over(order), F.lit(False)))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     pages = pages.withColumn("row", F.sum((F.col("may") & ~F.col("link")).cast("int")).over(upto))
     place = F.sum(F.col("link").cast("int")).over(Window.partitionBy("doc", "row").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
     pages = pages.withColumn("goes", F.col("may") & (place % 2 == 0))
-    pages = pages.withColumn("more", F.when(F.lead("goes").over(order), F.lead("head").over(order)["text"])).select("doc", "page", "goes", "more", "last")
-    out = paragraphs_.join(pages, ["doc", "page"]).filter(~(F.col("goes") & (F.col("paragraph") == 0)))
+    pages = pages.withColumn("more", F.when(F.lead("goes").over(order), F.lead(first["text"]).over(order))).withColumn("last", last["paragraph"])
+    out = pages.select("doc", "page", "goes", "more", "last", F.explode("every").alias("x")).select("doc", "page", "goes", "more", "last", "x.*")
+    out = out.filter(~(F.col("goes") & (F.col("paragraph") == 0)))
     text = F.when((F.col("paragraph") == F.col("last")) & F.col("more").isNotNull(), F.concat_ws(" ", "text", "more")).otherwise(F.col("text"))
     return out.select("doc", "page", (F.col("paragraph") - F.col("goes").cast("int")).alias("paragraph"), text.alias("text"), "heading")
 

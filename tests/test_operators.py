@@ -271,3 +271,20 @@ def test_texts_of_single_ranges_are_not_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     single = plan[: plan.index("= 1)")]
     assert "Union" in single and "Aggregate" not in single
+
+
+def test_paragraphs_of_pages_read_their_items_once(spark, sf):
+    """Fonts, notes and what runs on to the next page come from one pass: one scan, items dealt by page and pages by document."""
+    from tessera.plans import structure as plans
+
+    plan = plans.page_paragraphs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_main_font_of_a_page(spark):
+    """The font of most characters between the bands, the first one on a tie; lines without it in a band are strange, but not on a page without a key."""
+    schema = "doc string, page int, line int, y double, height double, page_height double, text string, fonts array<string>, chars array<int>"
+    of = lambda doc, fonts: [(doc, 1, 0, 5.0, 10.0, 100.0, "top", ["C"], [3]), (doc, 1, 1, 50.0, 10.0, 100.0, "x", *fonts)]
+    rows = of("a", (["A", "B", "A", None, ""], [2, 3, 1, 9, 9])) + of("b", (["B", "C", "C"], [3, 2, 2])) + of(None, (["A"], [9])) + of("c", ([], []))
+    out = structure.classify_lines(spark.createDataFrame(rows, schema)).collect()
+    assert {r["doc"]: (r["main_font"], r["kind"]) for r in out if r["line"] == 0} == {"a": ("A", "header"), "b": ("C", "body"), None: (None, "body"), "c": (None, "body")}
