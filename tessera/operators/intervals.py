@@ -7,6 +7,7 @@ with very many ranges is split over tasks like any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,9 +64,19 @@ def union_measure(df: DataFrame, keys: list[str], start: str, end: str, name: st
 
 
 def exact_claims(old: DataFrame, new: DataFrame, keys: list[str], order_old: str, order_new: str) -> DataFrame:
-    """Equal ranges, each old row claimed at most once, first come first served."""
-    number = lambda df, order: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return number(new, order_new).join(number(old, order_old), [*keys, "__n"], "left").drop("__n")
+    """Equal ranges, each old row claimed at most once, first come first served: the new rows with what they claim.
+
+    Both sides are one table, so that rows dealt by a part of ``keys`` are not shuffled again.
+    Null keys equal none.
+    """
+    mine, theirs = ([c for c in df.columns if c not in keys] for df in (new, old))
+    none = lambda df, names: (F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names)
+    both = new.select(*keys, *mine, *none(old, theirs), F.lit(True).alias("__new")).unionByName(old.select(*keys, *none(new, mine), *theirs, F.lit(False).alias("__new")))
+    place = Window.partitionBy(*keys, "__new").orderBy(F.when(F.col("__new"), F.col(order_new)), F.when(~F.col("__new"), F.col(order_old)))
+    claim = F.first(F.when(~F.col("__new"), F.struct(*theirs)), ignorenulls=True).over(Window.partitionBy(*keys, "__n"))
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    out = both.withColumn("__n", F.row_number().over(place)).withColumn("__claim", F.when(known, claim)).filter("__new")
+    return out.select(*(F.col(k).cast(new.schema[k].dataType).alias(k) for k in keys), *mine, *(F.col(f"__claim.{c}").alias(c) for c in theirs))
 
 
 def overlaps(old: DataFrame, new: DataFrame, key: str, old_range: tuple[str, str], new_range: tuple[str, str], step: int = 32, wide: int = 4096) -> DataFrame:
@@ -130,19 +141,26 @@ def covered(sections: DataFrame, pages: DataFrame, keys: list[str], text: str) -
     return single.unionByName(several.select(*keys, "n_pages", "n_missing", F.when(F.col("n_missing") == 0, joined("parts")).alias("text")))
 
 
+def _read_before(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, ord, read_pages, last_read: what read old ranges say of new ones; new ones that meet none have no row."""
+    pairs = overlaps(old.filter("is_read"), new, key, ("start_page", "end_page"), ("start", "end"))
+    pages = union_measure(pairs, [key, "ord"], "from", "to", "read_pages")
+    return pages.join(pairs.groupBy(key, "ord").agg(F.max("read_at").alias("last_read")), [key, "ord"])
+
+
+def _mostly(pages: Column) -> Column:
+    return pages * 2 > F.col("end") - F.col("start") + 1
+
+
 def carry_over(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Read state of new ranges from old ones.
 
     ``old``: key, start_page, end_page, is_read, read_at. ``new``: key, ord, start, end. A
     new range is read if read old ranges cover more than half of it; read_at is their latest.
     """
-    pairs = overlaps(old.filter("is_read"), new, key, ("start_page", "end_page"), ("start", "end"))
-    pages = union_measure(pairs, [key, "ord"], "from", "to", "read_pages")
-    last = pairs.groupBy(key, "ord").agg(F.max("read_at").alias("last_read"))
-    out = new.join(pages, [key, "ord"], "left").join(last, [key, "ord"], "left")
+    out = new.join(_read_before(old, new, key), [key, "ord"], "left")
     n = F.coalesce("read_pages", F.lit(0))
-    read = n * 2 > F.col("end") - F.col("start") + 1
-    return out.select(key, "ord", "start", "end", n.alias("read_pages"), read.alias("is_read"), F.when(read, F.col("last_read")).alias("read_at"))
+    return out.select(key, "ord", "start", "end", n.alias("read_pages"), _mostly(n).alias("is_read"), F.when(_mostly(n), F.col("last_read")).alias("read_at"))
 
 
 def replace_structure(old: DataFrame, new: DataFrame, key: str, now: Column, texts: Sequence[str] = ("text",)) -> DataFrame:
@@ -157,9 +175,9 @@ def replace_structure(old: DataFrame, new: DataFrame, key: str, now: Column, tex
     kept = [F.col(x).alias(f"__{x}") for x in ("read_at", *texts)]
     ranges = alive.select(key, F.col("start_page").alias("start"), F.col("end_page").alias("end"), F.col("ord").alias("__ord"), *kept)
     claimed = exact_claims(ranges, new.select(key, "start", "end", "ord"), [key, "start", "end"], "__ord", "ord")
-    carried = carry_over(alive.select(key, "start_page", "end_page", "is_read", "read_at"), new, key).drop("start", "end", "read_pages")
-    both = claimed.join(carried, [key, "ord"])
-    read_at = F.when(F.col("is_read"), F.coalesce("__read_at", "read_at", now))
+    before = _read_before(alive.select(key, "start_page", "end_page", "is_read", "read_at"), new, key)
+    both = claimed.join(before, [key, "ord"], "left").withColumn("is_read", _mostly(F.coalesce("read_pages", F.lit(0))))
+    read_at = F.when(F.col("is_read"), F.coalesce("__read_at", "last_read", now))
     made = {"start_page": F.col("start"), "end_page": F.col("end"), "read_at": read_at, "deleted_at": F.lit(None).cast(old.schema["deleted_at"].dataType)}
     made |= {x: F.col(f"__{x}") for x in texts} | {x: F.col(x) for x in (key, "ord", "is_read")}
     columns = [c for c in old.columns if c in made]

@@ -131,7 +131,9 @@ union all select book_id, no, start_page, end_page, is_read, coalesce(strftime(r
 def structure_replace(spark, sf_dir):
     """A new structure for every book: old sections as tombstones, new ones with what they keep."""
     place = Window.partitionBy("book_id").orderBy("no", "start_page", "end_page", "updated_at", "is_read")
-    s = sections(spark, sf_dir).withColumn("no", F.row_number().over(place).cast("long"))
+    # without the time of reading, which follows from what the numbers take: so all uses of the numbered rows share one shuffle
+    s = sections(spark, sf_dir).drop("read_at").withColumn("no", F.row_number().over(place).cast("long"))
+    s = s.withColumn("read_at", F.when(F.col("is_read"), F.col("updated_at")))
     none = F.lit(None).cast("timestamp_ntz")
     old = s.select("book_id", F.col("no").alias("ord"), "start_page", "end_page", "is_read", "read_at", F.concat(F.lit("text "), F.col("no").cast("string")).alias("text"), none.alias("deleted_at"))
     out = iv.replace_structure(old, _new(s), "book_id", F.expr("timestamp_ntz '2000-01-01 00:00:00'"))

@@ -6,6 +6,7 @@ from collections import deque
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import models as mf
@@ -288,3 +289,25 @@ def test_main_font_of_a_page(spark):
     rows = of("a", (["A", "B", "A", None, ""], [2, 3, 1, 9, 9])) + of("b", (["B", "C", "C"], [3, 2, 2])) + of(None, (["A"], [9])) + of("c", ([], []))
     out = structure.classify_lines(spark.createDataFrame(rows, schema)).collect()
     assert {r["doc"]: (r["main_font"], r["kind"]) for r in out if r["line"] == 0} == {"a": ("A", "header"), "b": ("C", "body"), None: (None, "body"), "c": (None, "body")}
+
+
+def test_claims_of_numbered_rows_are_not_shuffled_again(spark):
+    """Both sides dealt by book already: one shuffle for all; null keys claim nothing, copies claim once, in order."""
+    rows = [(1, 1, 5), (1, 1, 5), (1, 2, 2), (2, None, 5), (None, 1, 5), (3, 7, 7)]
+    raw = spark.createDataFrame(rows, "book int, s int, e int")
+    both = raw.withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy("s", "e")))
+    out = intervals.exact_claims(both.filter("n <> 2"), both.withColumnRenamed("n", "ord"), ["book", "s", "e"], "n", "ord")
+    got = [(r["book"], r["s"], r["e"], r["ord"], r["n"]) for r in out.collect()]
+    none = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(none, got)) == [(-1, 1, 5, 1, -1), (1, 1, 5, 1, 1), (1, 1, 5, 2, -1), (1, 2, 2, 3, 3), (2, -1, 5, 1, -1), (3, 7, 7, 1, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    at_end = plan[plan.index("== Initial Plan ==") :] if "== Initial Plan ==" in plan else plan
+    assert "Join" not in plan and all("hashpartitioning(book" in x and ", s" not in x.split("hashpartitioning(")[1].split(")")[0] for x in at_end.splitlines() if "Exchange hash" in x)
+
+
+def test_new_sections_without_a_key_stay(spark):
+    """A new section of no book, and two of one number, are there once each."""
+    old = spark.createDataFrame([(1, 1, 1, 4, True, NOW, "t", None)], "book int, ord int, start_page int, end_page int, is_read boolean, read_at timestamp_ntz, text string, deleted_at timestamp_ntz")
+    new = spark.createDataFrame([(1, 1, 1, 4), (1, 1, 3, 3), (None, 2, 1, 4)], "book int, ord int, start int, end int")
+    out = intervals.replace_structure(old, new, "book", at(NOW)).filter("is_new").collect()
+    assert sorted((r["book"] or 0, r["ord"], r["start_page"], r["is_read"], r["text"] or "-") for r in out) == [(0, 2, 1, False, "-"), (1, 1, 1, True, "t"), (1, 1, 3, True, "-")]
