@@ -24,6 +24,7 @@ RICH = r"(?m)\$.*\$|\\frac|\\sum|\\int|\\sqrt|\\begin\{|\\end\{|\|[-+|]+\||[│
 TABLE = r"(?m)(\t.*){2,}|(\s{2,}\S+){3,}"
 
 EDGE_SPACE = " \t\n\v\f\r"  # what \s stands for in patterns
+SQL_SPACE = " \t\n\f\r"  # what it stands for in the SQL, without the vertical tab
 
 
 def trim(text: Column) -> Column:
@@ -35,12 +36,19 @@ def collapse(text: Column) -> Column:
     return trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def sentences(text: Column) -> Column:
-    """Split after ``.!?`` and white space before a capital or a quote, except after an abbreviation."""
-    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+def sentence_parts(text: Column) -> Column:
+    """Split after ``.!?`` and white space before a capital or a quote, except after an abbreviation; not trimmed.
+
+    Abbreviations are read from the left and share no mark: in ``Ave.g.`` and ``i.e.g.`` there is no ``e.g.``.
+    """
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS).replace(r"e\.g", r"(?<!Av|i\.)e\.g")
     # the one-character test comes first, so that the long one is tried at sentence ends only
-    parts = F.split(text, rf'(?<=[.!?])(?<!(?:{short})[.!?])\s+(?=[A-Z"“])')
-    kept = F.filter(F.transform(parts, trim), lambda s: s != "")
+    return F.split(text, rf'(?<=[.!?])(?<!(?:{short})[.!?])[{SQL_SPACE}]+(?=[A-Z"“])')
+
+
+def sentences(text: Column) -> Column:
+    """The parts of a text without white space at their ends; the text itself if nothing is left."""
+    kept = F.filter(F.transform(sentence_parts(text), trim), lambda s: s != "")
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
 
